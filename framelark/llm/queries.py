@@ -4,9 +4,10 @@ their DuckDB statements.  Each takes (spark, sf_dir) and covers whole tables."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing
-from .common import table
+from . import bpe, language, media, mixing, warc
+from .common import remainder, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +15,54 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write a WARC record for every page, then read the archives back."""
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on two thirds of the documents, predict the language of all."""
+    docs = table(spark, sf_dir, "documents")
+    net = language.fit(docs, remainder(F.col("doc_id"), 3) != 1)
+    return language.identify(docs, net).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give the digests of both."""
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every document's bytes as an image, refer to it from an interleaved
+    document, resolve the reference and give what the stored bytes hold."""
+    return media.document_media(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
+    "op4_language": op4_language,
     "op6_bpe": op6_bpe,
+    "op7_media": op7_media,
 }
 
 SQL = {
+    "op2_warc": r"""
+WITH bodies AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+digests AS (
+  SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(string_split(sha1(body), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits
+  FROM bodies),
+named AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(bits[5*i+1] AS INT) + 8 * CAST(bits[5*i+2] AS INT) + 4 * CAST(bits[5*i+3] AS INT) + 2 * CAST(bits[5*i+4] AS INT) + CAST(bits[5*i+5] AS INT) AS BIGINT), 1)), '') AS payload_digest
+  FROM digests),
+lasts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN last IS NOT NULL AND (page_id IS NULL OR page_id < last) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last IS NOT NULL AND (page_id IS NULL OR page_id < last) THEN last END AS refers_to
+FROM lasts
+""",
     "op1_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,

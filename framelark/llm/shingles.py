@@ -27,15 +27,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.arange(256, dtype=np.uint64)
-    codes[65:91] += _U(32)  # A-Z hash as a-z
+    folded = codes.copy()
+    folded[65:91] += _U(32)  # A-Z hash as a-z
     space = np.zeros(256, dtype=bool)
     space[[9, 10, 11, 12, 13, 32]] = True
-    return mix64((codes + _U(1)) * _U(0x9E3779B97F4A7C15)), space
+    spread = lambda x: mix64((x + _U(1)) * _U(0x9E3779B97F4A7C15))
+    return spread(folded), spread(codes), space
 
 
-_BYTE, _SPACE = _tables()
+_FOLDED, _EXACT, SPACE = _tables()
 
 
 class _Powers:
@@ -57,32 +59,37 @@ _POWERS = _Powers()
 PIECE = 1 << 22
 
 
-def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    inside = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-    starts, ends = edges[::2], edges[1::2]
+def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of every word."""
+    edges = np.flatnonzero(np.diff(np.r_[False, ~SPACE[raw], False]))
+    return edges[::2], edges[1::2]
+
+
+def _word_hashes(raw: np.ndarray, code: np.ndarray) -> np.ndarray:
+    starts, ends = word_bounds(raw)
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
     up, down = _POWERS.upto(len(raw) + 1)
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(code[raw] * up[: len(raw)], out=sums[1:])
     value = (sums[ends] - sums[starts]) * down[starts]
     return mix64(value + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One uint64 per word of ``text``, in order."""
+def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
+    """One uint64 per word of ``text``, in order; with ``fold``, A-Z counts as a-z."""
     raw = np.frombuffer(text, dtype=np.uint8)
+    code = _FOLDED if fold else _EXACT
     if len(raw) <= PIECE:
-        return _word_hashes(raw)
+        return _word_hashes(raw, code)
     parts, at = [], 0
     while at < len(raw):
         end = min(at + PIECE, len(raw))
-        while end < len(raw) and not _SPACE[raw[end]]:
-            step = np.flatnonzero(_SPACE[raw[end : end + PIECE]])
+        while end < len(raw) and not SPACE[raw[end]]:
+            step = np.flatnonzero(SPACE[raw[end : end + PIECE]])
             end = end + int(step[0]) if len(step) else min(end + PIECE, len(raw))
-        parts.append(_word_hashes(raw[at:end]))
+        parts.append(_word_hashes(raw[at:end], code))
         at = end
     return np.concatenate(parts)
 
