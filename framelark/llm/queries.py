@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, warc
+from . import bpe, language, media, mixing, quality_rules, quality_score, warc
 from .common import remainder, table
 
 
@@ -27,6 +27,12 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, net).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count over every document, label its lines, keep it or not."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and give the digests of both."""
     return bpe.digests(table(spark, sf_dir, "documents"))
@@ -38,12 +44,19 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from three quarters of the labelled documents, score all."""
+    return quality_score.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
     "op4_language": op4_language,
+    "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
+    "op10_quality_score": op10_quality_score,
 }
 
 SQL = {
