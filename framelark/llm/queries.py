@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, quality_rules, quality_score, warc
+from . import bpe, language, main_text, media, mixing, quality_rules, quality_score, url_filter, warc
 from .common import remainder, table
 
 
@@ -44,6 +44,17 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's url: by the longest rule that fits, else by trees
+    trained on the urls that rules decide."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from three quarters of the labelled documents, score all."""
     return quality_score.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,6 +67,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
+    "op8_url_filter": op8_url_filter,
+    "op9_main_text": op9_main_text,
     "op10_quality_score": op10_quality_score,
 }
 
