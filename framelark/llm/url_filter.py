@@ -6,7 +6,7 @@ rule that fits decides.  A url that no rule fits is judged by trees.
 
 The trees learn from labelled urls, by default those that a rule decides.
 Features are length, depth, digit ratio, entropy, parameter counts, host shape
-and the smoothed share of blocked urls among those with the same suffix.  Every
+and the smoothed share of blocked urls among those with the same suffix or section.  Every
 feature is cut at quantiles of the labelled urls; urls with the same bins
 become one weighted cell before boosting, so that a round reads cells, not urls.
 A round's histograms (node, feature, bin) have a fixed size; only they, the
@@ -29,9 +29,10 @@ from .common import cut
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-TREES, DEPTH, BINS, RATE, PENALTY = 8, 2, 16, 0.5, 1.0
+TREES, DEPTH, BINS, RATE, PENALTY = 8, 3, 16, 0.5, 1.0
 SUFFIX_BUCKETS = 256
-FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "host_length", "hyphens", "secure", "path_length", "top_suffix", "domain_suffix")
+FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "host_length", "hyphens", "secure", "path_length", "top_suffix", "domain_suffix", "section")
+STATISTICS = 3  # the last of FEATURES: blocked shares by suffix and by first path segment
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -66,7 +67,7 @@ def _bucket(text: Column) -> Column:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """page_id, host, path and the lexical features that need no statistics, f0 to f9, with the suffix buckets s0 and s1."""
+    """page_id, host, path and the lexical features that need no statistics, f0 to f9, with the buckets s0 to s2 of suffixes and section."""
     url = F.coalesce(F.col("url"), F.lit(""))
     parts = pages.select("page_id", url.alias("url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     n = F.greatest(F.length("url"), F.lit(1)).cast("double")
@@ -79,7 +80,7 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.length("host").cast("double"), count("host", "-"), F.col("url").startswith("https:").cast("double"), F.length("path").cast("double"),
     ]
     return parts.select("page_id", "host", "path", *[v.alias(f"f{i}") for i, v in enumerate(values)],
-                        _bucket(F.substring_index("host", ".", -1)).alias("s0"), _bucket(F.substring_index("host", ".", -2)).alias("s1"))
+                        _bucket(F.substring_index("host", ".", -1)).alias("s0"), _bucket(F.substring_index("host", ".", -2)).alias("s1"), _bucket(F.substring_index("path", "/", 2)).alias("s2"))
 
 
 class Trees(NamedTuple):
@@ -90,30 +91,24 @@ class Trees(NamedTuple):
     trees: tuple[tuple[dict[int, tuple[int, int]], dict[int, float]], ...]
 
 
-def _node(splits: dict[int, tuple[int, int]], level: int) -> Column:
-    """Heap number of the node that a row of bins b0, b1, ... reaches at ``level``."""
-    at = F.lit(1)
-    for _ in range(level):
-        right = F.lit(0)
-        for number, (feature, edge) in splits.items():
-            right = F.when(at == number, (F.col(f"b{feature}") > edge).cast("int")).otherwise(right)
-        at = at * 2 + right
-    return at
+def _walk(splits: dict[int, tuple[int, int]], levels: int, value, node: int = 1) -> Column:
+    """``value`` of the node that a row of bins b0, b1, ... reaches ``levels`` below ``node``; nodes have heap numbers."""
+    if not levels:
+        return F.lit(value(node))
+    feature, edge = splits[node]
+    left, right = (_walk(splits, levels - 1, value, 2 * node + side) for side in (0, 1))
+    return F.when(F.col(f"b{feature}") > edge, right).otherwise(left)
 
 
 def _margin(trees) -> Column:
     total = F.lit(0.0)
     for splits, leaves in trees:
-        at = _node(splits, DEPTH)
-        value = F.lit(0.0)
-        for number, leaf in leaves.items():
-            value = F.when(at == number, leaf).otherwise(value)
-        total = total + value
+        total = total + _walk(splits, DEPTH, leaves.__getitem__)
     return total
 
 
 def _featured(rows: DataFrame, suffixes) -> DataFrame:
-    """Adds f10 and f11, the blocked shares of the suffixes."""
+    """Adds f10 to f12, the blocked shares of suffixes and section."""
     for i, shares in enumerate(suffixes):
         rows = rows.withColumn(f"f{10 + i}", F.element_at(F.array(*map(F.lit, shares)), F.col(f"s{i}") + 1))
     return rows
@@ -154,7 +149,7 @@ def fit(labelled: DataFrame) -> Trees:
     if prior is None:
         return Trees((), (), ())
     suffixes = []
-    for i in range(2):
+    for i in range(STATISTICS):
         shares = [prior] * SUFFIX_BUCKETS
         for r in rows.groupBy(f"s{i}").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")).collect():
             shares[r[0]] = (r.b + 10 * prior) / (r.n + 10)
@@ -173,7 +168,7 @@ def fit(labelled: DataFrame) -> Trees:
         totals: dict[int, tuple[float, float]] = {}
         for level in range(DEPTH):
             items = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(b).alias("bin")) for i, b in enumerate(names)]))
-            sums = state.select(_node(splits, level).alias("node"), "g", "h", items.alias("at")).groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            sums = state.select(_walk(splits, level, int).alias("node"), "g", "h", items.alias("at")).groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             found = {(r.node, r.feature, r.bin): (r.g, r.h) for r in sums}
             for node in range(2**level, 2 ** (level + 1)):
                 best = _best(found, node) or (0, BINS)  # (0, BINS): all rows go left
