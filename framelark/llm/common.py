@@ -3,6 +3,7 @@ size-checked broadcasts and the batching of Arrow rows."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle and checkpoint files of frames that
+    are no longer referenced; without it they stay until the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> str:
     """Write ``df`` as a table in the shared folder, removed when the driver ends; return its path."""
     spark = df.sparkSession

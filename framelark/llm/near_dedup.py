@@ -4,59 +4,64 @@
    the ``K`` least values of that set under one hash function.
 2. Documents with equal sets form a class; from here on there is one row a class.
 3. Inverted lists hold the retained values.  A pair of similarity 0.75 must share
-   ``need`` values of its union's bottom k: all of three sevenths of both sizes
-   where both sets are retained whole, else the mean of a hypergeometric
-   draw less ``SIGMAS`` deviations.  With every sketch in the same order, rare values
-   first, such a pair meets in the first ``prefix`` values of both, so only those
-   are listed, and a meeting at given places bounds the overlap from above.
-   Values that one class alone retains are never listed.
-4. Hubs first: each list links its members to its most typical one, the class with
-   the fewest values of its own.  That costs a row for each listed value, however
-   large a group of copies is.  Verified links give components.
-5. Lists that still span components yield the remaining pairs, those of equal
-   component left out.  A pair that isn't similar to the hub can meet another
-   member only among its own rare values, so a group of copies doesn't turn
-   into all of its pairs here.
+   ``needed`` values of its union's bottom k: three sevenths of both sizes where
+   both sets are retained whole, else the mean of a hypergeometric draw less
+   ``SIGMAS`` deviations.  With every sketch in the same order, rare values first,
+   such a pair meets in the first ``prefix_length`` values of both, so only those
+   are listed, and the places of a meeting bound the overlap from above.  Values
+   that one class alone retains are never listed.
+4. Hubs first: each list pairs its members with its most typical one, the class with
+   the smallest share of values of its own.  That costs a row for each listed value,
+   however large a group of copies is.  Verified links give components.
+5. Members of lists that still span components are contested.  Their sketches are
+   widened to their whole sets and listed again.  Two members that the hub has not
+   linked meet there among their own rare values or not at all, so that a group of
+   copies doesn't turn into all of its pairs; pairs of one component are left out.
 6. Pairs are filtered by the similarity that the union of their sketches
-   estimates, then verified on the full sets.  The links' components, joined by
-   label passing with path halving, are the result.
+   estimates, then verified on the full sets.  The components of all links, found by
+   passing and doubling labels, are the result.
 
 Defined results: null or empty text, or text without a word, has no shingle and is
-linked with nothing; fewer than five words are one shingle; a document without
-id has a null component and is kept; rows that share an id are one document in
-the components, each with the count of its own text; ties go to the smaller id;
-an empty table gives an empty result.
+linked with nothing; fewer than five words are one shingle; a document without id
+has a null component and is kept; rows that share an id but not a text are
+documents of their own; ties go to the smaller id; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import bounded, cut, release, slices
 from .shingles import fingerprint, shingle_set
 
-K = 256
+K = 128
 #: Deviations below the mean overlap at which a sketched pair is given up.
 SIGMAS = 5.0
 NUMBER, WHOLE = 75, 100  # similarity of 75 / 100 at least
-CLASS = ("f1", "f2", "n")
+#: Rows up to which the ids of documents in pairs are broadcast to the texts; beyond, texts are shuffled.
+BROADCAST_MEMBERS = 500_000
 
 
-def needed(a: np.ndarray, b: np.ndarray, k: int = K, sigmas: float = SIGMAS) -> np.ndarray:
+def needed(a: np.ndarray, b: np.ndarray, k: int = K) -> np.ndarray:
     """Values that sketches of sets of ``a`` and ``b`` elements share at least if
     the sets have a similarity of 0.75."""
     union = (a + b) * WHOLE / (WHOLE + NUMBER)
     spread = np.sqrt(np.maximum(0, k * 0.1875 * (union - k) / np.maximum(union - 1, 1)))
-    return np.where(np.maximum(a, b) <= k, np.ceil(NUMBER * (a + b) / (WHOLE + NUMBER) - 1e-9), np.floor(0.75 * k - sigmas * spread)).astype(np.int64)
+    return np.where(np.maximum(a, b) <= k, np.ceil(NUMBER * (a + b) / (WHOLE + NUMBER) - 1e-9), np.floor(0.75 * k - SIGMAS * spread)).astype(np.int64)
 
 
-def _needed(a: Column, b: Column) -> Column:
+def _needed(a: Column, b: Column, whole: bool) -> Column:
+    exact = F.ceil(NUMBER * (a + b) / float(WHOLE + NUMBER) - 1e-9)
+    if whole:
+        return exact
     union = (a + b) * float(WHOLE) / float(WHOLE + NUMBER)
     spread = F.sqrt(F.greatest(F.lit(0.0), K * 0.1875 * (union - K) / F.greatest(union - 1, F.lit(1.0))))
-    return F.when(F.greatest(a, b) <= K, F.ceil(NUMBER * (a + b) / float(WHOLE + NUMBER) - 1e-9)).otherwise(F.floor(0.75 * K - SIGMAS * spread)).cast("int")
+    return F.when(F.greatest(a, b) <= K, exact).otherwise(F.floor(0.75 * K - SIGMAS * spread))
 
 
 def prefix_length(n: int, k: int = K) -> int:
@@ -88,23 +93,35 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n long, prefix int, sketch array<long>")
 
 
-def listed(classes: DataFrame) -> DataFrame:
-    """value, id, n, kept (sketch size), place, own (share of values no other class
-    retains): the values through which a class may meet another."""
-    each = classes.select("id", "n", "prefix", F.explode("sketch").alias("value"))
-    shared = cut(each.groupBy("value").agg(F.count("*").cast("int").alias("held")).where("held > 1"))
-    rows = each.join(shared, "value").groupBy("id", "n", "prefix").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
-    kept = F.least(F.col("n"), F.lit(K)).cast("int")
+def class_table(rows: DataFrame) -> DataFrame:
+    """node, doc, f1, f2, n, prefix, sketch: one row for each distinct non-empty set.
+    A node is named by its least document, or by a hash where that id has several texts."""
+    several = bounded(cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low < high").select(F.col("doc_id").alias("of"))), BROADCAST_MEMBERS)
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
+    named = F.when(F.col("of").isNull(), F.col("doc")).otherwise(F.xxhash64("doc", "f1", "f2")).alias("node")
+    return classes.join(several, F.col("doc") == F.col("of"), "left").select(named, "doc", "f1", "f2", "n", "prefix", "sketch")
+
+
+def listed(values: DataFrame, meta: DataFrame, whole: bool = False) -> DataFrame:
+    """node, value -> value, node, n, kept (values retained), place, own (share of
+    values that no other node retains): the values through which a node may meet another."""
+    shared = cut(values.groupBy("value").agg(F.count("*").cast("int").alias("held")).where("held > 1").withColumnRenamed("value", "of"))
+    rows = values.join(shared, F.col("value") == F.col("of")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
+    rows = rows.join(meta.select(F.col("node").alias("of"), "n", "prefix"), F.col("node") == F.col("of"))
+    kept = (F.col("n") if whole else F.least(F.col("n"), F.lit(K))).cast("int")
+    prefix = (F.col("n") - F.ceil(F.col("n") * NUMBER / float(WHOLE)) + 1).cast("int") if whole else F.col("prefix")
     own = kept - F.size("values")
-    return rows.select("id", "n", kept.alias("kept"), own.alias("own"), F.posexplode(F.slice("values", 1, F.greatest(F.col("prefix") - own, F.lit(0)))).alias("at", "v")).select(
-        F.col("v.value").alias("value"), "id", "n", "kept", (F.col("own") + F.col("at")).alias("place"), (F.col("own") / F.col("kept")).alias("own"))
+    met = F.slice("values", 1, F.greatest(prefix - own, F.lit(0)))
+    return rows.select("node", "n", kept.alias("kept"), own.alias("alone"), F.posexplode(met).alias("at", "v")).select(
+        F.col("v.value").alias("value"), "node", "n", "kept", (F.col("alone") + F.col("at")).alias("place"), (F.col("alone") / F.col("kept")).alias("own"))
 
 
-def _meets(a: str, b: str) -> Column:
+def _meets(a: str, b: str, whole: bool = False) -> Column:
     """Whether a meeting of two list entries at their places may be a similar pair."""
     c = lambda side, name: F.col(f"{side}.{name}")
     rest = F.least(c(a, "kept") - c(a, "place"), c(b, "kept") - c(b, "place"))
-    return (NUMBER * c(a, "n") <= WHOLE * c(b, "n")) & (NUMBER * c(b, "n") <= WHOLE * c(a, "n")) & (rest >= _needed(c(a, "n"), c(b, "n")))
+    near = (NUMBER * c(a, "n") <= WHOLE * c(b, "n")) & (NUMBER * c(b, "n") <= WHOLE * c(a, "n"))
+    return near & (rest >= _needed(c(a, "n"), c(b, "n"), whole))
 
 
 def _pairs(rows: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -113,108 +130,124 @@ def _pairs(rows: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
     """Each list's members with its hub: a, b."""
-    entry = F.struct("own", "id", "n", "kept", "place")
-    hubs = lists.groupBy("value").agg(F.min(entry).alias("h"), F.count("*").alias("size")).where("size > 1").select(F.col("value").alias("of"), "h")
-    rows = lists.alias("m").join(cut(hubs), F.col("value") == F.col("of")).select("m.*", "h").where(F.col("id") != F.col("h.id"))
-    return _pairs(rows.select(F.struct("id", "n", "kept", "place").alias("m"), "h").where(_meets("m", "h")), F.col("m.id"), F.col("h.id"))
-
-
-def cross_pairs(lists: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs within a list and across components: a, b."""
-    labelled = lists.join(component.select(F.col("id").alias("of"), "component"), F.col("id") == F.col("of"), "left").select("value", "id", "n", "kept", "place", F.coalesce("component", "id").alias("component"))
-    labelled = cut(labelled)
-    open_lists = cut(labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("value").alias("of")))
-    rows = cut(labelled.join(open_lists, F.col("value") == F.col("of"), "left_semi"))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _meets("a", "b")
-    return _pairs(a.join(b, on).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")), F.col("x"), F.col("y"))
+    entry = F.struct("own", "node", "n", "kept", "place")
+    hubs = cut(lists.groupBy("value").agg(F.min(entry).alias("h"), F.count("*").alias("size")).where("size > 1").select(F.col("value").alias("of"), "h"))
+    met = lists.join(hubs, F.col("value") == F.col("of")).select(F.struct("node", "n", "kept", "place").alias("m"), "h")
+    return _pairs(met.where((F.col("m.node") != F.col("h.node")) & _meets("m", "h")), F.col("m.node"), F.col("h.node"))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose union sketch holds enough common values: a, b."""
+def contested(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """value, node, n, kept, place, component of the entries of lists that span components."""
+    labelled = lists.join(found.select(F.col("node").alias("of"), "component"), F.col("node") == F.col("of"), "left")
+    labelled = cut(labelled.select("value", "node", "n", "kept", "place", F.coalesce("component", "node").alias("component")))
+    spanning = cut(labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("value").alias("of")))
+    return cut(labelled.join(spanning, F.col("value") == F.col("of"), "left_semi"))
 
-    def run(batches):
-        for part in slices(batches, text="s"):
-            good = []
-            for n, m, s, t in zip(*(part.column(c).to_pylist() if c in ("n", "m") else [x.values.to_numpy().view(np.uint64) for x in part.column(c)] for c in ("n", "m", "s", "t"))):
-                union = np.union1d(s, t)
-                if max(n, m) > K:
-                    union = union[:K]
-                common = np.intersect1d(s, t, assume_unique=True)
-                good.append(len(np.intersect1d(common, union, assume_unique=True)) >= needed(np.int64(n), np.int64(m)))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = classes.select(F.col("id").alias("a"), "n", F.col("sketch").alias("s"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("t"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(run, "a long, b long")
+def cross_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of whole sets that meet in a list and differ in component: a, b."""
+    a, b = entries.alias("a"), entries.alias("b")
+    on = (F.col("a.value") == F.col("b.value")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _meets("a", "b", whole=True)
+    return _pairs(a.join(b, on).select(F.col("a.node").alias("x"), F.col("b.node").alias("y")), F.col("x"), F.col("y"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets have a similarity of 0.75 or more: a, b.
-    Only the texts of documents in a pair are read and shuffled."""
+def full_sets(nodes: DataFrame, meta: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, full: the whole shingle sets of ``nodes``, from their texts."""
 
-    def shingled(batches):
+    def run(batches):
         for part in slices(batches, text="text"):
-            sets = [shingle_set(t).view(np.int64) for t in part.column("text").to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["id", "full"])
+            sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+            first = pa.array([fingerprint(s)[0] for s in sets], pa.int64())
+            held = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            made = pa.RecordBatch.from_arrays([part.column("node"), part.column("f1"), held, first], ["node", "f1", "full", "own"])
+            made = made.filter(pc.equal(made.column("f1"), made.column("own")))  # another text under the same id
+            yield pa.RecordBatch.from_arrays([made.column("node"), made.column("full")], ["node", "full"])
+
+    members = bounded(cut(nodes.distinct().join(meta.select(F.col("node").alias("of"), "doc", "f1"), F.col("node") == F.col("of")).select("node", "doc", "f1")), BROADCAST_MEMBERS)
+    read = docs.join(members, F.col("doc_id") == F.col("doc")).select("node", "f1", "text").mapInArrow(run, "node long, full array<long>")
+    return cut(read.dropDuplicates(["node"]))
+
+
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Two sorted sets: the estimate of their union sketch first, then the exact similarity."""
+    least, most = sorted((len(s), len(t)))
+    if WHOLE * least < NUMBER * most:
+        return False
+    if most > K:
+        a, b = s[:K], t[:K]
+        bound = np.union1d(a, b)[K - 1]
+        a, b = a[a <= bound], b[b <= bound]
+        if len(np.intersect1d(a, b, assume_unique=True)) < needed(np.int64(len(s)), np.int64(len(t))):
+            return False
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return WHOLE * common >= NUMBER * (len(s) + len(t) - common)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose union sketch and full sets have a similarity of 0.75 or more: a, b."""
 
     def run(batches):
         for part in slices(batches, text="s"):
-            good = []
-            for s, t in zip(part.column("s"), part.column("t")):
-                s, t = s.values.to_numpy(), t.values.to_numpy()
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(WHOLE * common >= NUMBER * (len(s) + len(t) - common))
+            good = [similar(s.values.to_numpy().view(np.uint64), t.values.to_numpy().view(np.uint64)) for s, t in zip(part.column("s"), part.column("t"))]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(members, docs["doc_id"] == members["id"], "left_semi").select("doc_id", "text").mapInArrow(shingled, "id long, full array<long>")
-    sets = cut(sets)
-    left, right = sets.select(F.col("id").alias("a"), F.col("full").alias("s")), sets.select(F.col("id").alias("b"), F.col("full").alias("t"))
+    left, right = sets.select(F.col("node").alias("a"), F.col("full").alias("s")), sets.select(F.col("node").alias("b"), F.col("full").alias("t"))
     return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every id in ``links`` (a, b).
+    """node, component (the least node reachable) of every node in ``links`` (a, b).
 
-    Each round every id takes the least label of its neighbours, then the label of
-    its label, until nothing changes; labels fall by whole paths, so that rounds grow
-    with the logarithm of a chain's length.
+    Each round a node takes the least label around it, offers it to the node that
+    was its label, and takes the label of its label, until nothing changes; labels
+    fall by whole paths, so that rounds grow with the logarithm of a chain's length.
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a != b").distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"))
+    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")))
     while True:
-        around = edges.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        # the least label around an id is also offered to the id that was its label
-        offers = labels.join(around, labels["id"] == around["a"]).select("id", "component", F.least("component", "near").alias("low"))
-        offered = offers.select("id", "low").union(offers.select(F.col("component"), "low")).groupBy("id").agg(F.min("low").alias("low"))
-        jump = offered.select(F.col("id").alias("via"), F.col("low").alias("far"))
-        after = cut(offered.join(jump, F.col("low") == F.col("via"), "left").select("id", F.least("low", F.coalesce("far", "low")).alias("component")))
-        changed = after.join(labels.select("id", F.col("component").alias("was")), "id").where("component != was").limit(1).count()
+        around = edges.join(labels.select(F.col("node").alias("of"), F.col("component").alias("near")), F.col("b") == F.col("of")).groupBy("a").agg(F.min("near").alias("near"))
+        offers = cut(labels.join(around, F.col("node") == F.col("a")).select("node", "component", F.least("component", "near").alias("low")))
+        offered = cut(offers.select("node", "low").union(offers.select(F.col("component"), "low")).groupBy("node").agg(F.min("low").alias("low")))
+        jump = offered.select(F.col("node").alias("via"), F.col("low").alias("far"))
+        after = cut(offered.join(jump, F.col("low") == F.col("via"), "left").select("node", F.least("low", F.coalesce("far", "low")).alias("component")))
+        changed = after.join(labels.select(F.col("node").alias("of"), F.col("component").alias("was")), F.col("node") == F.col("of")).where("component != was").limit(1).count()
         labels = after
         if not changed:
             return labels
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """id, component over the class representatives in ``classes``."""
-    lists = cut(listed(classes))
-    first = verified(cut(estimated(hub_pairs(lists), classes)), docs)
+def links(docs: DataFrame, classes: DataFrame, meta: DataFrame) -> DataFrame:
+    """All links that components need, between nodes: a, b."""
+    lists = cut(listed(classes.select("node", F.explode("sketch").alias("value")), meta))
+    release(docs.sparkSession)
+    pairs = cut(hub_pairs(lists))
+    first = verified(pairs, full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), meta, docs))
     found = components(first)
-    second = verified(cut(estimated(cross_pairs(lists, found), classes)), docs)
-    return components(first.union(second))
+    rest = contested(lists, found)
+    if not rest.take(1):
+        return first
+    sets = full_sets(rest.select("node"), meta, docs)
+    wide = listed(sets.select("node", F.explode("full").alias("value")), meta, whole=True)
+    pairs = cut(cross_pairs(contested(wide, found)))
+    return cut(first.union(verified(pairs, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     rows = cut(sketched(docs))
-    # One row a class; a class is named by its least document.
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
-    found = links(docs, classes)
-    named = classes.select(*[F.col(c).alias(f"of_{c}") for c in CLASS], "id").join(found, "id", "left").select("of_f1", "of_f2", "of_n", F.coalesce("component", "id").alias("component_id"))
-    same = (F.col("f1") == F.col("of_f1")) & (F.col("f2") == F.col("of_f2")) & (F.col("n") == F.col("of_n")) & (F.col("n") > 0)
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", *CLASS).join(cut(named), same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    classes = cut(class_table(rows))
+    narrow = cut(rows.select("doc_id", "f1", "f2", "n"))
+    meta = cut(classes.drop("sketch"))
+    del rows
+    release(docs.sparkSession)
+    found = components(links(docs, classes, meta))
+    del classes
+    labelled = cut(meta.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).select("f1", "f2", "n", "doc", "component"))
+    least = cut(labelled.groupBy(F.col("component").alias("of")).agg(F.min("doc").alias("least")))
+    linked = labelled.join(least, F.col("component") == F.col("of")).select("f1", "f2", "n", F.col("least").alias("least"))
+    alone = meta.join(found.select(F.col("node").alias("of")), F.col("node") == F.col("of"), "left_anti").select("f1", "f2", "n", F.col("doc").alias("least"))
+    named = cut(linked.union(alone).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "least"))
+    same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
+    return narrow.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

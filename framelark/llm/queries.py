@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, main_text, media, mixing, quality_rules, quality_score, url_filter, warc
+from . import bpe, language, main_text, media, mixing, near_dedup, quality_rules, quality_score, url_filter, warc
 from .common import remainder, table
 
 
@@ -20,6 +20,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, and whether it stays."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on two thirds of the documents, predict the language of all."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ def op10_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
+    "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
