@@ -251,3 +251,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return narrow.join(named, same, "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def accept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each group; all columns kept.
+    An id with several texts stays if one of them does."""
+    marks = near_duplicates(docs)
+    gone = cut(marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.struct("doc_id").alias("_gone")))
+    return docs.join(bounded(gone, BROADCAST_MEMBERS), docs["doc_id"].cast("long") == F.col("_gone.doc_id"), "left_anti")
