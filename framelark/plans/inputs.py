@@ -14,10 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return message_columns(table(spark, sf_dir, "events"))
+
+
+def message_columns(events: DataFrame) -> DataFrame:
     """events as a message stream: capture, can_id, t_us, dlc, label, seq.  Times
     without a zone are taken as UTC, whatever the session's zone."""
     t_us = F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("ts").cast("timestamp_ntz"))
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         (F.col("user_id") % 4).alias("capture"), (F.floor(F.col("user_id") / 4) % 12).alias("can_id"), t_us.alias("t_us"),
         (F.get_json_object("props", "$.k").try_cast("int") % 9).alias("dlc"),
         ((F.col("event_type") == "error") & (F.col("value") > 100)).cast("tinyint").alias("label"), F.col("event_id").alias("seq"))

@@ -11,3 +11,15 @@ def session(name: str = "framelark", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is
+    unset, a temporary folder for a local session and the warehouse for a cluster."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
+        folder = tempfile.mkdtemp(prefix="framelark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_framelark"
+    return folder.rstrip("/")
