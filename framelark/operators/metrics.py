@@ -77,7 +77,7 @@ def jaccard_topk(ranks: DataFrame, k: int, fold: str = "fold", feature: str = "f
 
 def consistency(agreement: DataFrame, column: str = "rho") -> DataFrame:
     """score, mean, std, pairs: (mean + 1) / 2 within 0 and 1; 0.5 without a pair."""
-    return agreement.agg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg(column) + 1) / 2)), F.lit(0.5)).alias("score"),
+    return agreement.agg(F.when(F.count(column) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.avg(column) + 1) / 2))).otherwise(0.5).alias("score"),
                          F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"), F.count("*").alias("pairs"))
 
 
