@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but space and the five ASCII line/tab controls.
@@ -78,6 +78,18 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def least_by_hash(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """The ``k`` rows of every group whose doc_id has the least hash.  Counts of 4096
+    ranges of the hash tell which ranges hold them; only rows of those are ranked."""
+    hashed = rows.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_range", F.shiftrightunsigned("_hash", 52))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hashed.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranges = bounded(cut(counts.where(F.col("_before") < k).select(F.col(group).alias("_of"), F.col("_range").alias("_in"))), 100_000)
+    near = hashed.join(ranges, (F.col(group) == F.col("_of")) & (F.col("_range") == F.col("_in")))
+    order = Window.partitionBy(group).orderBy("_range", "_hash", "doc_id")
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(*rows.columns)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: str | None = None, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice has ``rows`` rows and about ``chars`` bytes of ``text`` at most."""
     for batch in batches:

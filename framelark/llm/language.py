@@ -25,10 +25,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import least_by_hash, slices
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -177,9 +177,8 @@ def has_letter(text: str) -> bool:
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[str]]]:
     """(lang, pieces of the text) of the training texts.  Only ids are ranked; the texts
     are then read by id and only the pieces leave the executors."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    ids = [r.doc_id for r in rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("doc_id").collect()]
+    ids = [r.doc_id for r in least_by_hash(rows, "lang", per_language).collect()]
     if not ids:
         return []
     length = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))

@@ -23,10 +23,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import least_by_hash, slices
 from .shingles import SPACE, mix64, word_bounds, word_hashes
 
 PER_CLASS = 400
@@ -223,9 +223,8 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray]) -> Field:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, text, quality of the training documents.  Ids are ranked, not texts."""
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class)
-    chosen = {r.doc_id: r.quality for r in ranked.collect()}
+    rows = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
+    chosen = {r.doc_id: r.quality for r in least_by_hash(rows, "quality", per_class).collect()}
     found = docs.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).select("doc_id", "text")
     good = [i for i, q in chosen.items() if q == 1]
     return found.withColumn("quality", F.col("doc_id").isin(good).cast("int"))
