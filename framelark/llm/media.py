@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import cut, slices, stored
 
 WIDTH = 64
 ITEM = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -212,4 +212,4 @@ def document_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text").mapInArrow(refer, f"doc_id {kind}, n_bytes long, items {ITEM}").select("doc_id", "n_bytes", F.explode("items").alias("item")).where("item.kind = 'media'")
     flat = found.select("doc_id", "n_bytes", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
-    return resolve(flat, features(made)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    return resolve(flat, cut(features(made))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
