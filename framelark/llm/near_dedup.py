@@ -106,6 +106,7 @@ def listed(values: DataFrame, meta: DataFrame, whole: bool = False) -> DataFrame
     """node, value -> value, node, n, kept (values retained), place, own (share of
     values that no other node retains): the values through which a node may meet another."""
     shared = cut(values.groupBy("value").agg(F.count("*").cast("int").alias("held")).where("held > 1").withColumnRenamed("value", "of"))
+    release(values.sparkSession)  # the counts' shuffle goes before that of the join is written
     rows = values.join(shared, F.col("value") == F.col("of")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held", "value"))).alias("values"))
     rows = rows.join(meta.select(F.col("node").alias("of"), "n", "prefix"), F.col("node") == F.col("of"))
     kept = (F.col("n") if whole else F.least(F.col("n"), F.lit(K))).cast("int")
