@@ -33,7 +33,7 @@ from .common import slices
 VOCABULARY = "word_bpe_49k.json"
 #: Symbols up to which a word is merged by scanning.
 SHORT = 192
-#: Words kept per Python worker.
+#: Words kept per Python worker, in each of two halves.
 CACHED_WORDS = 100_000
 
 # The white space that the tokenizer file's \s stands for.
@@ -75,6 +75,7 @@ class WordBpe:
         self.added = added
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
@@ -117,11 +118,14 @@ class WordBpe:
         return [p for p in parts if p >= 0]
 
     def _word(self, word: str) -> tuple[int, str, str]:
-        parts = self.merge(word)
-        made = len(parts), " ".join(map(str, parts)), " ".join([self.tokens[p] for p in parts])
+        made = self.older.get(word)
+        if not made:
+            parts = self.merge(word)
+            made = len(parts), " ".join(map(str, parts)), " ".join([self.tokens[p] for p in parts])
         if len(word) <= 64:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
+            if len(self.known) >= CACHED_WORDS:  # words in use come back from the older half
+                self.older, known = self.known.copy(), self.known
+                known.clear()
             self.known[word] = made
         return made
 
