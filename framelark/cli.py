@@ -11,7 +11,7 @@ from pathlib import Path
 
 from . import config
 from .functions.objective import Objective
-from .operators import reports
+from .operators import reports, tables
 from .search import arms as experiments
 from .search.evaluate import Budget
 from .search.space import SPACE
@@ -57,6 +57,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--arm", default="A0")
     parser.add_argument("--dataset")
     parser.add_argument("--save-features", action="store_true")
+    parser.add_argument("--no-save-models", action="store_true")
     given = parser.parse_args(args)
     cfg = config.load(given.config, given.set)
     out = Path(given.output) / given.tag if given.tag else Path(given.output)
@@ -83,12 +84,16 @@ def main(args: list[str] | None = None) -> int:
             elif command == "crossdataset":
                 records = [r for s in sources for seed in seeds for r in experiments.run_arm(spark, experiments.ARMS[given.arm], sources, s, settings, seed, goal)]
             elif command == "ablation":
-                records = experiments.ablation(spark, sources, settings, given.arms or cfg.get("ablation", {}).get("arms", list(experiments.ARMS)), seeds)
+                records = experiments.ablation(spark, sources, settings, given.arms or cfg.get("ablation", {}).get("arms", list(experiments.ARMS)), seeds, None if given.no_save_models else str(out / "models"))
             else:
                 records = [{"run_id": f"S-{r['alpha']}-{r['beta']}-{r['gamma']}-{r['seed']}", "evaluation_type": "sensitivity", **r} for r in experiments.sensitivity(spark, sources[first], settings, [tuple(g) for g in cfg.get("sensitivity", {}).get("grid", experiments.GRID)], seeds)]
             runlog.append(spark, records, str(out / "runs"))
             table = runlog.table(runlog.history(spark, str(out / "runs")))
             runlog.save_table(table.select(*[c for c, t in table.dtypes if not t.startswith("array")]), str(out / "runs_csv"))
+            if command == "ablation":
+                for name, made in {"ablation": tables.ablation_table(table), "transfer": tables.transfer_table(table), "agreement": tables.agreement_table(table)}.items():
+                    (out / f"{name}.md").write_text(runlog.markdown(tables.presented(made), name))
+                (out / "tests.md").write_text(runlog.markdown(tables.statistical_tests(table), "paired tests"))
             print(json.dumps({"command": command, "records": len(records)}))
         except Exception as error:  # a failed experiment doesn't end those after it
             failed += 1

@@ -56,18 +56,18 @@ def _names(head: str, sep: str) -> list[str]:
     return [c.strip().strip('"') for c in head.split(sep)]
 
 
-def _layouts(spark: SparkSession, rows: DataFrame, sep: str, resolve: Callable[[str], tuple | None]) -> DataFrame:
-    """file, head and the places that ``resolve`` gives for its first line; unresolved files are left out."""
-    firsts = _first_lines(rows).persist()
-    made = []
-    for (head,) in firsts.select("head").distinct().collect():
-        places = resolve(head or "")
-        if places is None:
-            LOG.warning("left out: no readable layout in %r", (head or "")[:80])
-        else:
-            made.append((head, *places))
-    layouts = spark.createDataFrame(made, "head string, header boolean, t int, i int, d int, l int")
-    return firsts.join(layouts, F.equal_null(firsts["head"], layouts["head"])).select("file", "header", layouts["head"], "t", "i", "d", "l")
+def _layouts(spark: SparkSession, rows: DataFrame, resolve: Callable[[str], tuple | None]) -> DataFrame:
+    """file, head and the places that ``resolve`` gives for its first line; unresolved
+    files are left out.  One row a file passes the driver, as in any file listing."""
+    made, places = [], {}
+    for r in _first_lines(rows).collect():
+        if r.head not in places:
+            places[r.head] = resolve(r.head or "")
+            if places[r.head] is None:
+                LOG.warning("left out: no readable layout in %r", (r.head or "")[:80])
+        if places[r.head] is not None:
+            made.append((r.file, r.head, *places[r.head]))
+    return spark.createDataFrame(made, "file string, head string, header boolean, t int, i int, d int, l int")
 
 
 def _header_places(head: str, sep: str, options: dict, need_label: bool = True) -> tuple | None:
@@ -81,7 +81,7 @@ def _header_places(head: str, sep: str, options: dict, need_label: bool = True)
 
 def _table(spark: SparkSession, path: str, pattern: str, sep: str, resolve: Callable[[str], tuple | None], label: Callable[[Column], Column] | None = None) -> DataFrame:
     rows = lines(spark, path, pattern)
-    told = rows.join(F.broadcast(_layouts(spark, rows, sep, resolve)), "file").where(~(F.col("header") & F.equal_null("value", "head")) & (F.trim("value") != ""))
+    told = rows.join(F.broadcast(_layouts(spark, rows, resolve)), "file").where(~(F.col("header") & F.equal_null("value", "head")) & (F.trim("value") != ""))
     f = told.select("file", "seq", "t", "i", "d", "l", "header", _fields(sep).alias("f"))
     at = lambda k: F.get("f", F.col(k))
     raw_id = at("i")
@@ -197,3 +197,17 @@ def read(spark: SparkSession, adapter: str, path: str, max_messages: int | None
     rows = clean(number_captures(READERS[adapter](spark, path, **options)))
     rows = rows.withColumn("t_us", F.round(F.col("timestamp") * 1e6).cast("long"))
     return cap(positions(rows), max_messages).drop("pos") if max_messages else rows
+
+
+def cached(spark: SparkSession, folder: str, name: str, adapter: str, path: str, max_messages: int | None = None, **options) -> DataFrame:
+    """``read`` through a Parquet copy in ``folder``.  The copy's name is made of all
+    arguments and of the files' sizes and times, so that changed files are read anew."""
+    from ..search.space import stable_hash
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").cast("string").alias("t"))
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("path", "length", "t").cast("decimal(38,0)")).cast("string")).first()
+    copy = f"{folder.rstrip('/')}/{name}_{stable_hash([name, adapter, path, max_messages, options, list(state)])}.parquet"
+    at = spark._jvm.org.apache.hadoop.fs.Path(copy)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(copy + "/_SUCCESS")):
+        read(spark, adapter, path, max_messages, **options).write.mode("overwrite").parquet(copy)
+    return spark.read.parquet(copy)
