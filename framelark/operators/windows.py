@@ -34,7 +34,7 @@ def window_features(messages: DataFrame, groups=DEFAULT_GROUPS, window: int = WI
     """
     needs_dt = "temporal_id" in groups
     timed = recurrence(messages, slice_us, order) if needs_dt else messages.withColumn("dt_us", F.lit(None).cast("long"))
-    placed = positions(timed, slice_us, order)
+    placed = positions(timed, slice_us, order, messages)
     made = frames(placed, ["t_us", "can_id", "dlc", "label", "dt_us"], window)
     kept = [c for c in starts.columns if c not in ("capture", "pos")] if starts is not None else []
     if starts is not None:
