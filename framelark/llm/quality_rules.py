@@ -210,8 +210,8 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray]) -> Field:
         both = np.exp(ahead[:, :-1, :, None] + step + (score + behind)[:, 1:, None, :] - total[:, None, None, None]) * live[:, 1:, None, None]
         wrong = (margin - truth) * weight[:, None, None]
         g_emit = np.zeros_like(emit)
-        for a in range(ACTIVE):
-            np.add.at(g_emit, x[:, :, a].ravel(), wrong.reshape(-1, 2))
+        for k in (0, 1):
+            g_emit[:, k] = sum(np.bincount(x[:, :, a].ravel(), wrong[:, :, k].ravel(), N_FEATURES + 1) for a in range(ACTIVE))
         g_emit[-1] = 0
         g_step = np.einsum("nlij,n->ij", both, weight) - pairs
         for k, (w, g) in enumerate(((emit, g_emit + 1e-4 * emit), (step, g_step + 1e-2 * step))):
