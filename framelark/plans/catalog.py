@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..functions.features import GROUPS, feature_names
-from ..operators import metrics, quality, reports, stream
+from ..operators import metrics, quality, reports, stream, tables
 from ..operators.windows import window_features
 from .inputs import DAY_US, MESSAGES_SQL, RANKS_SQL, RUNS_SQL, SCORES_SQL, importances, messages, runs, scores, table
 
@@ -389,6 +389,51 @@ def fitness_breakdown(spark, sf_dir):
     return _scored(spark, sf_dir).select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(k) for k, v in terms.items()])
 
 
+@query(f"WITH {RANKS_SQL}, m AS (SELECT feature, avg(value) AS importance FROM importances GROUP BY feature) SELECT CAST(feature AS INTEGER) AS feature, round(importance, 6) AS importance, round(coalesce(importance / nullif(sum(importance) OVER (), 0), 0), 6) AS share FROM m")
+def importance_share(spark, sf_dir):
+    mean = importances(spark, sf_dir).groupBy("feature").agg(F.avg("value").alias("importance"))
+    return _rounded(reports.importance_share(mean))
+
+
+EVALUATED_SQL = RUNS_SQL + """, evaluated AS (SELECT *, 'name ' || arm AS arm_description, CASE l_linenumber % 3 WHEN 0 THEN 'same_dataset' WHEN 1 THEN 'cross_dataset' ELSE 'validation_holdout' END AS evaluation_type, CASE WHEN l_orderkey % 2 = 0 THEN 'rf' ELSE 'dnn' END AS model_family FROM runs)"""
+
+
+def _evaluated(spark, sf_dir):
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "same_dataset").when(F.col("l_linenumber") % 3 == 1, "cross_dataset").otherwise("validation_holdout")
+    return runs(spark, sf_dir).withColumns({"arm_description": F.concat(F.lit("name "), "arm"), "evaluation_type": kind, "model_family": F.when(F.col("l_orderkey") % 2 == 0, "rf").otherwise("dnn")})
+
+
+_MEANS_SQL = "round(avg(accuracy), 6) AS accuracy_mean, round(stddev_samp(accuracy), 6) AS accuracy_std, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std, count(*) AS n_runs, count(DISTINCT seed) AS n_seeds"
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT arm, arm_description, evaluation_type, {_MEANS_SQL} FROM evaluated WHERE evaluation_type <> 'validation_holdout' GROUP BY ALL")
+def ablation_table(spark, sf_dir):
+    return _rounded(tables.ablation_table(_evaluated(spark, sf_dir)))
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT dataset_train, model_family, {_MEANS_SQL} FROM evaluated WHERE evaluation_type = 'same_dataset' AND arm = 'A0' GROUP BY ALL")
+def family_table(spark, sf_dir):
+    return _rounded(tables.family_table(_evaluated(spark, sf_dir)))
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT dataset_train, dataset_test, evaluation_type, {_MEANS_SQL} FROM evaluated WHERE evaluation_type <> 'validation_holdout' AND arm = 'A0' GROUP BY ALL")
+def transfer_table(spark, sf_dir):
+    return _rounded(tables.transfer_table(_evaluated(spark, sf_dir)))
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT dataset_train, arm, array_to_string(list_sort(list(DISTINCT seed)), ',') AS seeds FROM evaluated WHERE evaluation_type = 'validation_holdout' GROUP BY ALL")
+def finished_seeds(spark, sf_dir):
+    return tables.finished_seeds(_evaluated(spark, sf_dir)).select("dataset_train", "arm", F.array_join(F.col("seeds").cast("array<string>"), ",").alias("seeds"))
+
+
+def statistical_tests(spark, sf_dir):
+    """p-values are beyond SQL; the statistics are those of paired_ttest_stats."""
+    return tables.statistical_tests(_evaluated(spark, sf_dir), metrics=("f1", "accuracy"))
+
+
+QUERIES["statistical_tests"] = statistical_tests
+
+
 # ------------------------------------------------------------------ streaming and search
 @query(FEATURES_SQL + "SELECT capture, pos, round(window_duration, 6) AS window_duration, round(iat_mean, 6) AS iat_mean, round(iat_min, 6) AS iat_min, round(iat_max, 6) AS iat_max, n_unique_ids, y FROM told")
 def streaming_count_windows(spark, sf_dir):
