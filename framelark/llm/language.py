@@ -184,7 +184,8 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) ->
     length = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
     pieces = F.array(*[F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id", F.lit(k)), length).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS_PER_TEXT)])
     found = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isin(ids) & F.col("text").isNotNull())
-    return [(r.lang, r.pieces) for r in found.select("doc_id", "lang", pieces.alias("pieces")).orderBy("doc_id", "lang", "pieces").collect()]
+    each = found.select("doc_id", "lang", pieces.alias("pieces")).groupBy("doc_id", "lang").agg(F.min("pieces").alias("pieces"))  # one text of a repeated id
+    return [(r.lang, r.pieces) for r in each.orderBy("doc_id", "lang").collect()]
 
 
 def fit(docs: DataFrame, learn: Column | None = None) -> Network:

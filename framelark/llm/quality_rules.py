@@ -225,7 +225,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     """doc_id, text, quality of the training documents.  Ids are ranked, not texts."""
     rows = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality")
     chosen = {r.doc_id: r.quality for r in least_by_hash(rows, "quality", per_class).collect()}
-    found = docs.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).select("doc_id", "text")
+    found = docs.where(F.col("doc_id").isin(list(chosen)) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"))  # one text of a repeated id
     good = [i for i, q in chosen.items() if q == 1]
     return found.withColumn("quality", F.col("doc_id").isin(good).cast("int"))
 
