@@ -34,7 +34,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Symbols up to which a word is merged by scanning.
 SHORT = 192
 #: Words kept per Python worker, in each of two halves.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 
 # The white space that the tokenizer file's \s stands for.
 SPACE = "\t-\r \x85\xa0  -     　"
