@@ -9,8 +9,8 @@ article (``article``, ``main`` or the like), lines outside weigh nothing either.
 
 Weights are summed over windows of ``LINES`` lines.  Text surges where a
 window reaches the threshold, or in lines of text joined to that place, and dives
-where the windows fall back to nothing; of the stretches between, the one with
-most text is the main text, headings right above it included.  All lines between surge and dive that aren't of the
+where the windows fall back to nothing; all stretches between are the main
+text, headings right above them included.  All lines between surge and dive that aren't of the
 elements above are kept in full.  In a marked article every line surges.
 
 Defined results: null or empty html gives an empty text; a page without
@@ -179,17 +179,17 @@ def lines(page: str) -> tuple[list[Line], bool]:
     return [line if a or not marked else line._replace(weight=0, kept=False) for line, a in made], marked
 
 
-def stretch(found: list[Line], marked: bool) -> tuple[int, int]:
-    """First line and line after the last of the main text."""
+def stretches(found: list[Line], marked: bool) -> list[tuple[int, int]]:
+    """First line and line after the last of every stretch of main text."""
     if marked:
         inside = [i for i, line in enumerate(found) if line.kept]
-        return (inside[0], inside[-1] + 1) if inside else (0, 0)
+        return [(inside[0], inside[-1] + 1)] if inside else []
     place = [i for i, line in enumerate(found) if line.kept]  # the rest is stripped
     weights = [found[i].weight for i in place]
     n = len(place)
     sums = [sum(weights[max(0, i - LINES // 2) : i + LINES // 2 + 1]) for i in range(n)]
     threshold = SURGE * max(sums, default=0)
-    best, most, i = None, 0, 0
+    made, i, stop = [], 0, 0
     while i < n:
         if sums[i] < threshold or not weights[i]:
             i += 1
@@ -202,22 +202,17 @@ def stretch(found: list[Line], marked: bool) -> tuple[int, int]:
         dive = i
         while not weights[dive - 1]:
             dive -= 1
-        total = sum(weights[surge:dive])
-        if total > most:
-            best, most = (surge, dive), total
-    if not best:
-        return 0, 0
-    start, stop = best
-    while start and found[place[start - 1]].heading:
-        start -= 1
-    return place[start], place[stop - 1] + 1
+        while surge > stop and found[place[surge - 1]].heading:
+            surge -= 1
+        made.append((place[surge], place[dive - 1] + 1))
+        stop = dive
+    return made
 
 
 def extract(page: str | None) -> str:
     """The main text of a page: its blocks joined by an empty line."""
     found, marked = lines(page or "")
-    start, stop = stretch(found, marked)
-    return "\n\n".join(line.text for line in found[start:stop] if line.kept)
+    return "\n\n".join(line.text for start, stop in stretches(found, marked) for line in found[start:stop] if line.kept)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

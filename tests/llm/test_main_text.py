@@ -21,6 +21,12 @@ def test_comments_within_article():
     assert mt.extract(page) == "T\n\nText of the article."
 
 
+def test_all_stretches():
+    links = "".join(f"<li><a href=/{i}>Chapter {i}</a></li>" for i in range(4))
+    page = AROUND.format(f"<div><h1>Title of it</h1><p>An introduction of some length.</p><ul>{links}</ul><h2><a href=#1>Part one</a></h2><p>The longer part that follows the contents of the article.</p><p>Its end.</p></div>")
+    assert mt.extract(page) == "Title of it\n\nAn introduction of some length.\n\nPart one\n\nThe longer part that follows the contents of the article.\n\nIts end."
+
+
 def test_broken_markup():
     assert mt.extract("<nav><a href=x>menu<article><p>Real text</article><p>after") == "Real text"
     assert mt.extract("<article><p>One</div><p>Two") == "One\n\nTwo"
