@@ -5,13 +5,15 @@ comments vanish.  A line's weight is the length of its text without links.
 Lines in elements that never hold the article (menus, forms, asides, page
 headers and footers, or containers whose class or id says advert, comment,
 notice, sidebar and the like) weigh nothing.  Where the page marks its
-article (``article``, ``main`` or the like), lines outside weigh nothing either.
+article (``article``, ``main`` or the like), lines outside are stripped like those.
 
 Weights are summed over windows of ``LINES`` lines.  Text surges where a
 window reaches the threshold, or in lines of text joined to that place, and dives
 where the windows fall back to nothing; all stretches between are the main
 text, headings right above them included.  All lines between surge and dive that aren't of the
-elements above are kept in full.  In a marked article every line surges.
+elements above are kept in full.  In a marked article any text reaches the
+threshold, so that none of it is lost; it dives like other text, at ``LINES``
+lines without text of their own (a list of links) or more.
 
 Defined results: null or empty html gives an empty text; a page without
 article text gives an empty text; pages of any length are parsed whole; a tag
@@ -111,13 +113,15 @@ def lines(page: str) -> tuple[list[Line], bool]:
         linked, heading = 0, False
 
     def pop(to: int) -> None:
-        nonlocal side, article
+        nonlocal side, article, links
         while len(stack) > to:
             _, s, a = stack.pop()
             side -= s
             article -= a
+        if to < depth:  # an unclosed link ends with the element that it is in
+            links = 0
 
-    at, links = 0, 0
+    at = links = depth = 0  # depth: open elements around the link
     for_search = _TAG.search
     while found := for_search(page, at):
         piece = page[at : found.start()]
@@ -152,7 +156,7 @@ def lines(page: str) -> tuple[list[Line], bool]:
             at = close.end() if close else len(page)
             continue
         if name == "a":
-            links = 1
+            links, depth = int("href" in attributes.lower()), len(stack)
             continue
         if name in VOID or attributes.endswith("/"):
             continue
@@ -165,6 +169,7 @@ def lines(page: str) -> tuple[list[Line], bool]:
                     if s and n in ("nav", "header", "ul", "form", "menu"):
                         pop(i)
                         break
+                links = 0  # nor can an unclosed link
             is_side = _is_side(name, attributes, article > 0 or is_article)
             stack.append((name, is_side, is_article and not is_side))
             side += is_side
@@ -181,14 +186,11 @@ def lines(page: str) -> tuple[list[Line], bool]:
 
 def stretches(found: list[Line], marked: bool) -> list[tuple[int, int]]:
     """First line and line after the last of every stretch of main text."""
-    if marked:
-        inside = [i for i, line in enumerate(found) if line.kept]
-        return [(inside[0], inside[-1] + 1)] if inside else []
     place = [i for i, line in enumerate(found) if line.kept]  # the rest is stripped
     weights = [found[i].weight for i in place]
     n = len(place)
     sums = [sum(weights[max(0, i - LINES // 2) : i + LINES // 2 + 1]) for i in range(n)]
-    threshold = SURGE * max(sums, default=0)
+    threshold = 0 if marked else SURGE * max(sums, default=0)  # a page that marks its article leaves no other text to tell it from
     made, i, stop = [], 0, 0
     while i < n:
         if sums[i] < threshold or not weights[i]:

@@ -27,6 +27,17 @@ def test_all_stretches():
     assert mt.extract(page) == "Title of it\n\nAn introduction of some length.\n\nPart one\n\nThe longer part that follows the contents of the article.\n\nIts end."
 
 
+def test_windows_in_marked_article():
+    links = "".join(f"<li><a href=/{i}>Chapter {i}</a></li>" for i in range(4))
+    parts = f"<h1>Title</h1><p>{'Many words of the first part. ' * 40}</p><p><a href=x>One link</a></p><p>Joined to it.</p><ul>{links}</ul><p>Short end.</p><ul>{links}</ul>"
+    want = ["Title", ("Many words of the first part. " * 40).strip(), "One link", "Joined to it.", "Short end."]
+    for wrap in ("<article>{}</article>", "<main>{}</main>", '<div role="main">{}</div>'):
+        assert mt.extract(AROUND.format(wrap.format(parts))) == "\n\n".join(want), wrap
+    assert mt.extract(f"<p>Text outside.</p><article><ul>{links}</ul></article>") == ""
+    for link in ("<a name=top>", "<a href=x>"):  # left unclosed
+        assert mt.extract(f"{link}<article><p>{link}One</p><p>Two</p><p>Three</p><p>Four</p></article>").endswith("Two\n\nThree\n\nFour"), link
+
+
 def test_broken_markup():
     assert mt.extract("<nav><a href=x>menu<article><p>Real text</article><p>after") == "Real text"
     assert mt.extract("<article><p>One</div><p>Two") == "One\n\nTwo"
