@@ -15,6 +15,7 @@ from .inputs import DAY_US, MESSAGES_SQL, RANKS_SQL, RUNS_SQL, SCORES_SQL, impor
 
 ALL = tuple(GROUPS)
 BUDGET = {"train": 400, "val": 120, "test": 120}
+WHOLE_BUDGET = {"train": 40_000, "val": 12_000, "test": 12_000}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -130,7 +131,10 @@ def split_window_starts_even(spark, sf_dir):
 
 @query(BLOCKS_SQL + ", labelled AS (SELECT e.split, e.capture, e.pos, CAST(max(m.label) > 0 AS INTEGER) AS y FROM even e JOIN placed m ON m.capture = e.capture AND m.pos BETWEEN e.pos AND e.pos + 9 GROUP BY ALL) SELECT split, count(*) AS n_windows, round(avg(y), 6) AS attack_rate FROM labelled GROUP BY split")
 def split_summary(spark, sf_dir):
-    starts = stream.split_starts(_blocks(spark, sf_dir), BUDGET)
+    return _summary(spark, sf_dir, stream.split_starts(_blocks(spark, sf_dir), BUDGET))
+
+
+def _summary(spark, sf_dir, starts):
     rows = window_features(messages(spark, sf_dir), ("basic",), slice_us=DAY_US, starts=starts)
     return _rounded(rows.groupBy("split").agg(F.count("*").alias("n_windows"), F.avg("y").alias("attack_rate")))
 
@@ -140,8 +144,11 @@ bounds AS (SELECT k AS fold, CAST(floor(k * (n / 4.0)) AS BIGINT) AS low, CASE W
 roles AS (SELECT fold, capture, pos, CASE WHEN r >= low AND r < high THEN 'test' WHEN r < low - 9 OR r >= high + 9 THEN 'train' END AS role FROM numbered, bounds WHERE high > low)
 SELECT CAST(fold AS INTEGER) AS fold, capture, pos, role FROM roles WHERE role IS NOT NULL""")
 def blocked_kfold(spark, sf_dir):
-    starts = stream.split_starts(_blocks(spark, sf_dir), BUDGET).where("split = 'train'")
-    return stream.folds(starts, ["capture", "pos"], 4, stream.WINDOW - 1).select("fold", "capture", "pos", "role")
+    return _folds(stream.split_starts(_blocks(spark, sf_dir), BUDGET))
+
+
+def _folds(starts):
+    return stream.folds(starts.where("split = 'train'"), ["capture", "pos"], 4, stream.WINDOW - 1).select("fold", "capture", "pos", "role")
 
 
 # ------------------------------------------------------------------ leakage
@@ -154,7 +161,11 @@ def leakage_gap_check(spark, sf_dir):
 splits AS (SELECT * FROM (VALUES ('test', 'train'), ('test', 'val'), ('train', 'val')) AS v(a, b))
 SELECT a, b, (SELECT count(*) FROM spans x JOIN spans z ON x.capture = z.capture AND x.at = z.at WHERE x.split = a AND z.split = b) AS shared FROM splits""")
 def leakage_span_disjoint(spark, sf_dir):
-    found = quality.span_overlaps(stream.split_starts(_blocks(spark, sf_dir), BUDGET), stream.WINDOW)
+    return _overlaps(spark, stream.split_starts(_blocks(spark, sf_dir), BUDGET))
+
+
+def _overlaps(spark, starts):
+    found = quality.span_overlaps(starts, stream.WINDOW)
     splits = spark.createDataFrame([("test", "train"), ("test", "val"), ("train", "val")], "a string, b string")
     return splits.join(found, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"))
 
@@ -165,11 +176,48 @@ SCALED = ("iat_mean", "iat_max", "id_entropy")
 @query(FEATURES_SQL.rstrip() + "," + BLOCKS_SQL.split(MESSAGES_SQL + ",")[1] + ", train AS (SELECT told.* FROM told JOIN even USING (capture, pos) WHERE split = 'train') SELECT " + ", ".join(
     f"round(avg({c}), 6) AS {c}_mean, round(CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END, 6) AS {c}_scale" for c in SCALED) + " FROM train")
 def scaler_train_only(spark, sf_dir):
-    starts = stream.split_starts(_blocks(spark, sf_dir), BUDGET).where("split = 'train'")
-    rows = window_features(messages(spark, sf_dir), ("temporal", "frequency"), slice_us=DAY_US, starts=starts)
+    return _scaler(spark, sf_dir, stream.split_starts(_blocks(spark, sf_dir), BUDGET))
+
+
+def _scaler(spark, sf_dir, starts):
+    rows = window_features(messages(spark, sf_dir), ("temporal", "frequency"), slice_us=DAY_US, starts=starts.where("split = 'train'"))
     return _rounded(quality.fit_scaler(rows, list(SCALED)))
 
 
+# ------------------------------------------------------------------ the same with the study's budget, or every window
+WHOLE_SQL = BLOCKS_SQL.replace("THEN 400 ELSE 120 END", "THEN 40000 ELSE 12000 END")
+EVERY_SQL = BLOCKS_SQL.replace("least(windows, greatest(1, CASE split WHEN 'train' THEN 400 ELSE 120 END // nb)) AS m", "windows AS m")
+
+
+def _whole_starts(spark, sf_dir):
+    return stream.split_starts(_blocks(spark, sf_dir), WHOLE_BUDGET)
+
+
+@query(SQL["split_window_starts_even"].replace(BLOCKS_SQL, WHOLE_SQL))
+def split_window_starts_whole(spark, sf_dir):
+    return _whole_starts(spark, sf_dir)
+
+
+@query(SQL["split_summary"].replace(BLOCKS_SQL, WHOLE_SQL))
+def split_summary_whole(spark, sf_dir):
+    return _summary(spark, sf_dir, _whole_starts(spark, sf_dir))
+
+
+@query(SQL["blocked_kfold"].replace(BLOCKS_SQL, WHOLE_SQL))
+def blocked_kfold_whole(spark, sf_dir):
+    return _folds(_whole_starts(spark, sf_dir))
+
+
+@query(SQL["leakage_span_disjoint"].replace(BLOCKS_SQL, EVERY_SQL))
+def leakage_span_disjoint_whole(spark, sf_dir):
+    return _overlaps(spark, stream.starts(_blocks(spark, sf_dir)))
+
+
+@query(SQL["scaler_train_only"].replace(BLOCKS_SQL.split(MESSAGES_SQL + ",")[1], EVERY_SQL.split(MESSAGES_SQL + ",")[1]))
+def scaler_train_whole(spark, sf_dir):
+    return _scaler(spark, sf_dir, stream.starts(_blocks(spark, sf_dir)))
+
+
 # ------------------------------------------------------------------ ingest
 @query("""WITH raw AS (SELECT l_orderkey, l_linenumber, CASE l_quantity::INT % 8 WHEN 0 THEN 'T' WHEN 1 THEN ' R ' WHEN 2 THEN 'Attack Free' WHEN 3 THEN 'attack_free' WHEN 4 THEN 'DoS_attack' WHEN 5 THEN 'weird' WHEN 6 THEN NULL ELSE 'Normal' END AS flag FROM lineitem)
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN flag IN ('T', 'Attack Free', 'DoS_attack') THEN 1 ELSE 0 END AS TINYINT) AS label FROM raw""")

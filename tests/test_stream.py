@@ -155,3 +155,13 @@ def test_plus_minus(spark):
 def test_leakage_of_overlapping_spans(spark):
     starts = spark.createDataFrame([(0, "train", 0), (0, "val", 5)], "capture long, split string, pos long")
     assert [tuple(r) for r in quality.span_overlaps(starts, 10).collect()] == [("train", "val", 5)]
+
+
+def test_whole_queries_take_every_window():
+    from framelark.plans import catalog
+
+    assert catalog.WHOLE_BUDGET == {"train": 40_000, "val": 12_000, "test": 12_000}
+    for name in ("split_window_starts_whole", "split_summary_whole", "blocked_kfold_whole"):
+        assert "THEN 40000 ELSE 12000 END" in catalog.SQL[name] and "400 ELSE 120 " not in catalog.SQL[name]
+    for name in ("leakage_span_disjoint_whole", "scaler_train_whole"):
+        assert "windows AS m" in catalog.SQL[name] and "ELSE 120" not in catalog.SQL[name]
