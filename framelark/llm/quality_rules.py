@@ -10,7 +10,7 @@ The field is trained in numpy by gradient steps on the exact log-likelihood
 (forward-backward).  Its training lines are those of labelled documents: lines
 of good ones count as content, of bad ones as boilerplate.  At most
 ``PER_CLASS`` documents of each class are used, those with the least hash of
-their id, cut into sequences of ``TRAIN_LINES`` lines.
+their id, with all their lines, cut into sequences of ``TRAIN_LINES`` lines.
 
 Defined results: null and empty text have zero counts and fail the base rules;
 without labelled rows every line is content; ties in Viterbi go to content;
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field:
     def run(batches):
         for part in slices(batches, text="text"):
             rows = [measure(t)[1] for t in part.column("text").to_pylist()]
-            pieces = [(i, q, r[a : a + TRAIN_LINES].ravel().tolist()) for i, q, r in zip(part.column("doc_id").to_pylist(), part.column("quality").to_pylist(), rows) for a in range(0, min(len(r), 4 * TRAIN_LINES), TRAIN_LINES)]
+            pieces = [(i, q, r[a : a + TRAIN_LINES].ravel().tolist()) for i, q, r in zip(part.column("doc_id").to_pylist(), part.column("quality").to_pylist(), rows) for a in range(0, len(r), TRAIN_LINES)]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pieces], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["doc_id", "quality", "lines"])
 
     rows = labelled_sample(docs, labels).mapInArrow(run, "doc_id long, quality int, lines array<long>").collect()

@@ -59,6 +59,16 @@ def test_rules_learn(spark):
     assert rules.accept(docs, field).count() == sum(i % 3 > 0 for i in range(60))
 
 
+def test_rules_learn_from_all_lines(spark, monkeypatch):
+    long = "\n".join(words(6, k) for k in range(300))
+    docs = spark.createDataFrame([(1, long), (2, words(80, 9))], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(rules, "train", lambda sequences, labels: seen.extend(zip(sequences, labels)) or rules.NO_FIELD)
+    rules.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    got = np.concatenate([s for s, t in seen if t[0] == 1])
+    assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, rules.measure(long)[1].tolist())) and len(got) == 300
+
+
 def test_rules_odd(odd_docs, no_docs, odd_texts, spark):
     got = rules.apply(odd_docs, rules.NO_FIELD).collect()
     assert len(got) == len(odd_texts)
