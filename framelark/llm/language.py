@@ -216,7 +216,8 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def accept(docs: DataFrame, net: Network, least: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` whose text has a language that scores ``least`` or more; all columns kept."""
+    """The rows of ``docs`` whose text has a language that scores ``least`` or more; all columns kept.
+    Without a learned language nothing can be told and every row stays, null and letterless texts too."""
     names = docs.columns
     if not net.languages:
         return docs
