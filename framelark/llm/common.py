@@ -51,10 +51,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; lost executors re-read it from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Materialise ``df`` in the shared folder; lost executors re-read it from there.
+
+    A checkpoint keeps the size that the optimizer guessed for its plan.  Guesses of
+    joins are products, so that a loop of them soon has the driver multiply numbers of
+    millions of digits; the frame returned has no guess, and AQE goes by real sizes.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    held = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -1,20 +1,26 @@
 """Distinct five-word shingles of a text as 64-bit values, in numpy.
 
 A text is lower-cased on A-Z only and cut at runs of space, tab, line feed,
-vertical tab, form feed and carriage return.  Every word gets a polynomial
-hash out of one prefix sum over the text's bytes; a shingle is the mix of
-the hashes of its words in order.  No Python object is made per word.
+vertical tab, form feed and carriage return.  Every word is hashed in blocks
+of eight bytes, all words of a text at once: a block is mixed into the state
+that the blocks before left, so that words of up to eight bytes never collide
+with words of the same length.  Words of more than ``LONG`` bytes get a keyed
+BLAKE2 hash.  A shingle is the mix of the hashes of its words in order.  No
+Python object is made for a short word.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 SHINGLE = 5
 
+#: Bytes up to which a word is hashed with all others of its text.
+LONG = 64
+
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C55  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -27,34 +33,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = np.arange(256, dtype=np.uint64)
-    folded = codes.copy()
-    folded[65:91] += _U(32)  # A-Z hash as a-z
-    space = np.zeros(256, dtype=bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    spread = lambda x: mix64((x + _U(1)) * _U(0x9E3779B97F4A7C15))
-    return spread(folded), spread(codes), space
-
-
-_FOLDED, _EXACT, SPACE = _tables()
-
-
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 14)
-            self.up = np.cumprod(np.r_[_U(1), np.full(size - 1, _BASE, dtype=np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[_U(1), np.full(size - 1, _INVERSE, dtype=np.uint64)], dtype=np.uint64)
-        return self.up, self.down
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z hash as a-z
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: By number of bytes left in a word, the bits of a block that belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-_POWERS = _Powers()
 #: Bytes hashed at once; longer texts go through in pieces that end between words.
 PIECE = 1 << 22
 
@@ -65,31 +51,40 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _word_hashes(raw: np.ndarray, code: np.ndarray) -> np.ndarray:
+def _word_hashes(raw: np.ndarray) -> np.ndarray:
     starts, ends = word_bounds(raw)
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = _POWERS.upto(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(code[raw] * up[: len(raw)], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(value + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    held = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    blocks = np.ndarray(len(raw) + 1, dtype="<u8", buffer=held, strides=(1,))  # eight bytes from every place on
+    sizes = ends - starts
+    value = mix64(sizes.astype(np.uint64) * _U(0xD6E8FEB86659FD93) + _U(0xA24BAED4963EE407))
+    value = mix64((value ^ (blocks[starts] & _MASK[np.minimum(sizes, 8)])) * _U(0x9FB21C651E98DF25))
+    at, done = np.flatnonzero(sizes > 8), 8
+    while len(at) and done < LONG:
+        left = sizes[at] - done
+        value[at] = mix64((value[at] ^ (blocks[starts[at] + done] & _MASK[np.minimum(left, 8)])) * _U(0x9FB21C651E98DF25) + _U(done))
+        done += 8
+        at = at[left > 8]
+    for i in at.tolist():
+        value[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"framelark word").digest(), "little")
+    return value
 
 
 def word_hashes(text: bytes, fold: bool = True) -> np.ndarray:
     """One uint64 per word of ``text``, in order; with ``fold``, A-Z counts as a-z."""
     raw = np.frombuffer(text, dtype=np.uint8)
-    code = _FOLDED if fold else _EXACT
+    if fold:
+        raw = _FOLD[raw]
     if len(raw) <= PIECE:
-        return _word_hashes(raw, code)
+        return _word_hashes(raw)
     parts, at = [], 0
     while at < len(raw):
         end = min(at + PIECE, len(raw))
         while end < len(raw) and not SPACE[raw[end]]:
             step = np.flatnonzero(SPACE[raw[end : end + PIECE]])
             end = end + int(step[0]) if len(step) else min(end + PIECE, len(raw))
-        parts.append(_word_hashes(raw[at:end], code))
+        parts.append(_word_hashes(raw[at:end]))
         at = end
     return np.concatenate(parts)
 

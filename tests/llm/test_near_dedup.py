@@ -72,6 +72,83 @@ def test_groups_of_copies(spark):
     check(spark, rows)
 
 
+def template(n, seed=0, slots=9, choices=35, size=108):
+    """Documents of one template, nine words of which vary."""
+    r = random.Random(seed)
+    frame = [f"t{i}" for i in range(size)]
+    rows = []
+    for k in range(n):
+        own = list(frame)
+        for j in range(slots):
+            own[6 + j * (size // slots)] = f"s{j}_{r.randrange(choices)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def stages(spark, rows):
+    """Rows that each step on contested members makes, and those verified at last."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    keep = {name: getattr(near_dedup, name) for name in ("met", "verified")}
+
+    def counted(name):
+        def run(*args):
+            made = keep[name](*args)
+            seen.setdefault(name, []).append((args[0] if name == "verified" else made).count())
+            return made
+
+        return run
+
+    for name in keep:
+        setattr(near_dedup, name, counted(name))
+    try:
+        near_dedup.near_duplicates(docs).collect()
+    finally:
+        for name, f in keep.items():
+            setattr(near_dedup, name, f)
+    return seen
+
+
+def test_templates_do_not_give_all_pairs(spark):
+    few, many = stages(spark, template(200)), stages(spark, template(400))
+    assert many["verified"][-1] <= 2 * few["verified"][-1] + 10
+    assert many["met"][-1] < 400 * 20  # of 79800 pairs
+    check(spark, template(150, seed=3, choices=3))
+
+
+def test_exact(spark):
+    rows = group(60, 0) + group(300, 20_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_dedup.near_duplicates(docs, exact=True).collect()), key=str) == brute(rows)
+
+
+def test_growing_lists_find_every_pair():
+    """Every similar pair has an entry in common at any depth, whatever its classes."""
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        k = int(r.integers(2, 9))
+        weights, has = r.integers(1, 6, k), r.random((2, k)) < 0.8
+        sets = [np.flatnonzero(h) for h in has]
+        n = [int(weights[s].sum()) for s in sets]
+        common = int(weights[has.all(axis=0)].sum())
+        if not common or 175 * common < 75 * sum(n):
+            continue
+        slack = [m // 4 for m in n]
+        level = [[(0, -1, 0, 0)] for _ in sets]
+        for _ in range(k + 1):
+            made = []
+            for side in (0, 1):
+                each = [near_dedup._grown(*e[:4], slack[side], sets[side].astype(np.int64), weights[sets[side]].astype(np.int64)) for e in level[side]]
+                made.append({(int(np.uint64(key).astype(np.int64)), bool(done)): (int(np.uint64(key).astype(np.int64)), int(at), int(left), int(got)) for own in each for key, at, left, got, _, _, done in zip(*own)})
+            same = set(made[0]) & set(made[1])
+            assert same
+            if any(done for _, done in same):
+                break
+            level = [[m[s] for s in same] for m in made]
+        else:
+            raise AssertionError("no end")
+
+
 def test_boundary_of_75(spark):
     """Similarities of exactly, just under and just over 0.75."""
     base = [f"b{i}" for i in range(304)]  # 300 shingles
@@ -90,6 +167,20 @@ def test_hashes():
     assert len(shingle_set("a b")) == 1 and not len(shingle_set(None)) and not len(shingle_set(" \n"))
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    """Thue-Morse words and their complements collide under any polynomial modulo 2**64."""
+    swap = str.maketrans("ab", "ba")
+    for n in (8, 16, 64, 65, 1024, 4096):
+        one = thue_morse(n)
+        assert not (word_hashes(one.encode()) == word_hashes(one.translate(swap).encode())).any(), n
+    long = thue_morse(4096)
+    check(spark, [(1, f"{BASE} {long}"), (2, f"{BASE} {long.translate(swap)}"), (3, long), (4, long.translate(swap))])
+
+
 def test_long_text_in_pieces(monkeypatch):
     from framelark.llm import shingles
 
@@ -113,6 +204,16 @@ def test_components_of_a_chain(spark):
     assert {got[i] for i in range(n)} == {0} and got[1001] == got[1000] == 1000
 
 
+def test_accept_by_row(spark):
+    other = words(90, 77)
+    rows = [(1, BASE, 1), (2, BASE + " twentyone", 1), (2, other, 1), (3, other + " end", 1), (4, words(70, 8), 1), (4, words(70, 8), 1), (5, None, 1), (5, None, 1), (5, words(60, 9), 1), (5, words(60, 10), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    got = sorted(((r.doc_id, r.text) for r in near_dedup.accept(docs).collect()), key=str)
+    fives = [g for g in got if g[0] == 5]
+    assert [g for g in got if g[0] != 5] == sorted([(1, BASE), (2, other), (4, words(70, 8))], key=str)
+    assert fives.count((5, None)) == 2 and len(fives) >= 3
+
+
 def test_accept(odd_docs):
     kept = near_dedup.accept(odd_docs)
     assert kept.columns == odd_docs.columns
