@@ -97,15 +97,15 @@ def bounded(df: DataFrame, max_rows: int) -> DataFrame:
 
 def least_by_hash(rows: DataFrame, group: str, k: int) -> DataFrame:
     """The ``k`` rows of every group whose doc_id has the least hash, repeated ids once.
-    Counts of 4096 ranges of the hash tell which ranges hold them; only rows of those
-    are ranked.  Repeats count in a range, so that fewer ids than ``k`` may be left."""
-    hashed = rows.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_range", F.shiftrightunsigned("_hash", 52))
+    Counts of distinct ids in 4096 ranges of the hash tell which ranges hold them; only
+    those are ranked."""
+    hashed = rows.dropDuplicates([group, "doc_id"]).withColumn("_hash", F.xxhash64("doc_id")).withColumn("_range", F.shiftrightunsigned("_hash", 52))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = hashed.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     ranges = bounded(cut(counts.where(F.col("_before") < k).select(F.col(group).alias("_of"), F.col("_range").alias("_in"))), 100_000)
     near = hashed.join(ranges, (F.col(group) == F.col("_of")) & (F.col("_range") == F.col("_in")))
     order = Window.partitionBy(group).orderBy("_range", "_hash", "doc_id")
-    return near.dropDuplicates([group, "doc_id"]).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(*rows.columns)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).select(*rows.columns)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, text: str | None = None, chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, words
+from .common import bounded, cut, fresh, words
 
 #: Sources that the plan may broadcast at most; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -119,9 +119,10 @@ def repeat(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: fl
     whole, under the same columns.  A last partial repetition counts as whole
     if it is at least half."""
     _, sources = plan_repetitions(docs, weights, max_epochs, seed)
-    plan = sources.select(F.struct("source", "whole", "last_place", (2 * F.col("last_words") >= F.col("last_size")).alias("with_last")).alias("_mix_plan"))
+    own, copy = fresh(docs, "mix_plan"), fresh(docs, "mix_copy")
+    plan = sources.select(F.struct("source", "whole", "last_place", (2 * F.col("last_words") >= F.col("last_size")).alias("with_last")).alias(own))
     place = _place(docs["doc_id"], seed)
-    joined = docs.join(plan, docs["source"].eqNullSafe(F.col("_mix_plan.source")))
-    more = F.coalesce((place < F.col("_mix_plan.last_place")) | ((place == F.col("_mix_plan.last_place")) & F.col("_mix_plan.with_last")), F.lit(False))
-    copies = F.when(words(docs["text"]) > 0, F.col("_mix_plan.whole") + more.cast("long")).otherwise(0).cast("int")
-    return joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(plan, docs["source"].eqNullSafe(F.col(f"{own}.source")))
+    more = F.coalesce((place < F.col(f"{own}.last_place")) | ((place == F.col(f"{own}.last_place")) & F.col(f"{own}.with_last")), F.lit(False))
+    copies = F.when(words(docs["text"]) > 0, F.col(f"{own}.whole") + more.cast("long")).otherwise(0).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*[docs[c] for c in docs.columns])

@@ -7,18 +7,28 @@ most likely sequence of the labels boilerplate and content, and the share of
 word characters in content lines decides whether the document stays.
 
 The field is trained in numpy by gradient steps on the exact log-likelihood
-(forward-backward).  Its training lines are those of labelled documents: lines
-of good ones count as content, of bad ones as boilerplate.  At most
-``PER_CLASS`` documents of each class are used, those with the least hash of
-their id, with all their lines, cut into sequences of ``TRAIN_LINES`` lines.
+(forward-backward).  At most ``PER_CLASS`` labelled documents of each class are
+used, those with the least hash of their id, with all their lines, cut into
+sequences of ``TRAIN_LINES`` lines.  Labels are those of lines, not of documents.
+Boilerplate are lines that recur in ``RECURS`` or more of these documents (copies of
+a document count once), runs of short lines without a stop, lines of items between
+bars, shouted lines and those rich in symbols.  Other lines of good documents are
+content.  Other lines of bad ones are hidden: a first field, fitted with all of
+them as boilerplate, decodes them with just the bias that makes half of the
+document boilerplate, and the field is fitted again to what it found, so that its
+transitions come from changes within documents.
 
 Defined results: null and empty text have zero counts and fail the base rules;
 without labelled rows every line is content; ties in Viterbi go to content;
-equal texts give equal rows; texts of any length are taken whole.
+equal texts give equal rows and repeated rows stay rows; texts of any length are
+taken whole; an empty table gives an empty result; other columns are ignored by
+``apply`` and kept by ``accept``.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -33,11 +43,17 @@ PER_CLASS = 400
 TRAIN_LINES = 48
 STEPS = 150
 LEAST_SHARE = 0.5
+#: Sampled documents in which a line is boilerplate, and short lines in a row that are.
+RECURS = 3
+RUN, SHORT_LINE = 3, 3
 MIN_WORDS = 50
 
 # The characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
 
+_SYMBOLS = SYMBOLS.decode()
+_BARS = frozenset("|»›·•/>-")
+_GAP = re.compile(r"[\x20\x09-\x0D]+")
 _U = np.uint64
 _IS = {name: np.zeros(256, dtype=bool) for name in ("symbol", "digit", "upper", "lower", "wide", "stop", "mark", "start")}
 _IS["symbol"][list(SYMBOLS)] = True
@@ -188,8 +204,9 @@ def train(sequences: list[np.ndarray], labels: list[np.ndarray]) -> Field:
     for i, (s, t) in enumerate(zip(sequences, labels)):
         x[i, : len(s)], y[i, : len(s)], live[i, : len(s)] = s, t, True
     weight = np.zeros(n)
-    for k in (0, 1):  # both labels count alike
-        own = np.array([t[0] == k for t in labels])
+    most_of = np.array([t.mean() >= 0.5 for t in labels])
+    for k in (0, 1):  # sequences of both kinds count alike
+        own = most_of == bool(k)
         weight[own] = 0.5 / max(1, live[own].sum())
     emit, step = np.zeros((N_FEATURES + 1, 2)), np.zeros((2, 2))
     first, second = [np.zeros_like(emit), np.zeros_like(step)], [np.zeros_like(emit), np.zeros_like(step)]
@@ -230,17 +247,90 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     return found.withColumn("quality", F.col("doc_id").isin(good).cast("int"))
 
 
+def line_marks(text: str | None) -> tuple[list[int], list[bool]]:
+    """Of every line with a word: a hash of its words, and whether its own shape or that of its run is boilerplate's."""
+    held = [w for line in (text or "").split("\n") if (w := [x for x in _GAP.split(line) if x])]
+    keys = [zlib.crc32(" ".join(w).encode("utf-8", "surrogatepass")) << 20 | min(len(" ".join(w)), (1 << 20) - 1) for w in held]
+    plain = []
+    short = [len(w) <= SHORT_LINE and w[-1][-1] not in ".!?;:" for w in held]
+    for w in held:
+        line = "".join(w)
+        letters = [c for c in line if c.isalpha()]
+        bars = sum(x in _BARS for x in w)
+        plain.append(10 * sum(c in _SYMBOLS for c in line) > len(line) or bars >= 2 and 2 * bars + 1 >= len(w) / 2 or len(letters) >= 10 and not any(c.islower() for c in letters) and any(c.isupper() for c in letters))
+    at = 0
+    while at < len(held):
+        end = at
+        while end < len(held) and short[end]:
+            end += 1
+        if end - at >= RUN:
+            plain[at:end] = [True] * (end - at)
+        at = end + 1
+    return keys, plain
+
+
+def recurring(documents: list[list[int]]) -> set[int]:
+    """Line keys that ``RECURS`` or more documents hold.  A document most of whose
+    lines were seen before is taken for a copy and not counted."""
+    held: dict[int, int] = {}
+    for keys in documents:
+        own = set(keys)
+        if 2 * sum(k in held for k in own) > len(own) and len(own) > 2:
+            continue
+        for k in own:
+            held[k] = held.get(k, 0) + 1
+    return {k for k, n in held.items() if n >= RECURS}
+
+
+def bad_labels(lines: np.ndarray, chars: np.ndarray, sure: np.ndarray, field: Field) -> np.ndarray:
+    """Labels of the lines of a bad document: boilerplate where ``sure``, elsewhere decoded
+    with the least of some biases that makes half of its characters boilerplate."""
+    scores = field.emit[lines].sum(axis=1)
+    scores[sure, 0] += 1e6
+    for bias in (0, 1, 2, 4, 8, 16, 32):
+        moved = scores.copy()
+        moved[:, 0] += bias
+        best = viterbi(moved, field.step).astype(np.int64)
+        if 2 * chars[best == 0].sum() >= chars.sum():
+            return best
+    return np.zeros(len(lines), dtype=np.int64)
+
+
+class Sampled(NamedTuple):
+    quality: int
+    lines: np.ndarray
+    chars: np.ndarray
+    keys: list[int]
+    plain: np.ndarray
+
+
+def learn(documents: list[Sampled]) -> Field:
+    """The field of labelled documents."""
+    often = recurring([d.keys for d in documents])
+    sure = [d.plain | np.array([k in often for k in d.keys], dtype=bool) for d in documents]
+    labels = [(~s).astype(np.int64) if d.quality == 1 else np.zeros(len(s), dtype=np.int64) for d, s in zip(documents, sure)]
+    cut = lambda rows: [r[a : a + TRAIN_LINES] for r in rows for a in range(0, len(r), TRAIN_LINES)]
+    sequences = cut([d.lines for d in documents])
+    field = train(sequences, cut(labels))
+    again = [t if d.quality == 1 or not len(t) else bad_labels(d.lines, d.chars, s, field) for d, s, t in zip(documents, sure, labels)]
+    if all((a == t).all() for a, t in zip(again, labels)):
+        return field
+    return train(sequences, cut(again))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Field:
     def run(batches):
         for part in slices(batches, text="text"):
-            rows = [measure(t)[1] for t in part.column("text").to_pylist()]
-            pieces = [(i, q, r[a : a + TRAIN_LINES].ravel().tolist()) for i, q, r in zip(part.column("doc_id").to_pylist(), part.column("quality").to_pylist(), rows) for a in range(0, len(r), TRAIN_LINES)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pieces], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["doc_id", "quality", "lines"])
-
-    rows = labelled_sample(docs, labels).mapInArrow(run, "doc_id long, quality int, lines array<long>").collect()
+            rows = []
+            for i, q, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "quality", "text"))):
+                _, lines, chars = measure(text)
+                rows.append((i, q, lines.ravel().tolist(), chars.tolist(), *line_marks(text)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "quality", "lines", "chars", "keys", "plain"])
+
+    rows = labelled_sample(docs, labels).mapInArrow(run, "doc_id long, quality int, lines array<short>, chars array<double>, keys array<long>, plain array<boolean>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lines))
-    sequences = [np.array(r.lines).reshape(-1, ACTIVE) for r in rows]
-    return train(sequences, [np.full(len(s), r.quality) for s, r in zip(sequences, rows)])
+    return learn([Sampled(r.quality, np.array(r.lines, dtype=np.int64).reshape(-1, ACTIVE), np.array(r.chars), r.keys, np.array(r.plain, dtype=bool)) for r in rows])
 
 
 def judge(text: str | None, field: Field) -> tuple[Counts, float, bool]:

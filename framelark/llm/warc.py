@@ -12,13 +12,15 @@ on any file system.  ``archive`` is the content of one .warc.gz file; rows of
 
 Pages with equal payloads share one response, the page with the largest id;
 the others are revisits of it without a payload.  The largest id per digest is
-aggregated before its shuffle; the join that brings it back is on the digest
-and may be split by AQE where one payload is frequent.
+aggregated before its shuffle.  Digests that repeat are broadcast behind a count of
+them, so that no html moves; beyond ``BROADCAST_DIGESTS`` of them the join on the
+digest is a shuffle, which AQE may split where one payload is frequent.
 
 Defined results: null html is an empty payload; payloads shorter than
 ``least_bytes`` are never revisits; a page without id revisits the largest id
 if there is one, else it is a response; rows that tie on the largest id are all
-responses; a null url leaves the target header out; control characters and
+responses; an empty table gives an empty result; other columns are ignored, names may
+clash; a null url leaves the target header out; control characters and
 non-ASCII of a url are percent-encoded in the archive only.
 """
 
@@ -36,11 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, stored
+from .common import bounded, cut, slices, stored
 
 #: Compressed bytes after which a segment is closed.
 SEGMENT_BYTES = 4 << 20
 PIECE = 1 << 16
+#: Repeated digests (some 30 bytes each) up to which they are broadcast.
+BROADCAST_DIGESTS = 500_000
 DATE = "2024-01-01T00:00:00Z"  # records must not differ between runs
 
 
@@ -121,7 +125,7 @@ def assign(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
         .where("n > 1 and last is not null").select(F.col("sha").alias("of"), "last")
     )
     revisit = F.col("last").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("last")))
-    return own.join(repeated, F.col("sha") == F.col("of"), "left").select("page_id", "url", "html", "sha", F.when(revisit, F.col("last")).alias("refers_to"))
+    return own.join(bounded(repeated, BROADCAST_DIGESTS), F.col("sha") == F.col("of"), "left").select("page_id", "url", "html", "sha", F.when(revisit, F.col("last")).alias("refers_to"))
 
 
 def write(pages: DataFrame, least_bytes: int = 0) -> str:

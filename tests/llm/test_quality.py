@@ -26,7 +26,7 @@ def brute(text):
 
 
 def test_counts(odd_texts):
-    extra = ["a b c a b c", "a a a a", "x\n\nx\n x\nx", "a b c d\na b c", "\r\nq\r\nq", "a\x0bb\x0cc", "ａ 漢字 #"]
+    extra = ["a b c a b c", "a a a a", "x\n\nx\n x\nx", "a b c d\na b c", "\r\nq\r\nq", "a\x0bb\x0cc", "ａ 漢字 #", "x y ".join(["".join("ab"[bin(i).count("1") & 1] for i in range(4096)) + " ", "".join("ba"[bin(i).count("1") & 1] for i in range(4096)) + " ", ""])]
     for text in [t for _, t in odd_texts] + extra:
         assert tuple(rules.measure(text)[0]) == brute(text)
 
@@ -69,6 +69,49 @@ def test_rules_learn_from_all_lines(spark, monkeypatch):
     assert sorted(map(tuple, got.tolist())) == sorted(map(tuple, rules.measure(long)[1].tolist())) and len(got) == 300
 
 
+MENU = ["Home", "About us", "Contact", "Log in", "Shop | News | Help | Jobs", "Terms of use"]
+
+
+def mixed(i, menu_first=True):
+    menu, article = MENU + [f"Item {i}", f"More {i}"], [words(30, 100 * i + k).capitalize() + "." for k in range(5)]
+    return menu + article if menu_first else article + menu, [0] * len(menu) + [1] * 5 if menu_first else [1] * 5 + [0] * len(menu)
+
+
+def test_lines_get_labels_of_their_own(spark):
+    """Menus above articles: both labels occur within documents, and the field's transitions say so."""
+    good = [(i, "\n".join(mixed(i)[0])) for i in range(30)]
+    bad = [(100 + i, "\n".join(MENU * 3 + [words(30, 9000 + i).capitalize() + "."])) for i in range(30)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
+    field = rules.fit(docs, spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int"))
+    for i in (500, 501, 502):
+        for first in (True, False):
+            lines, want = mixed(i, first)
+            _, features, chars = rules.measure("\n".join(lines))
+            assert rules.viterbi(field.emit[features].sum(axis=1), field.step).tolist() == want
+            share = rules.content_share(features, chars, field)
+            assert share == pytest.approx(sum(c for c, w in zip(chars, want) if w) / chars.sum())
+
+
+def test_hidden_lines_of_bad_documents():
+    """Decoded with the least bias that makes half of the characters boilerplate."""
+    _, lines, chars = rules.measure("\n".join(words(20, k) for k in range(6)))
+    half = np.array([True] * 4 + [False] * 2)
+    assert rules.bad_labels(lines, chars, half, rules.NO_FIELD).tolist() == [0, 0, 0, 0, 1, 1]
+    assert rules.bad_labels(lines, chars, np.zeros(6, dtype=bool), rules.NO_FIELD).tolist() == [0] * 6
+
+
+def test_recurring_lines_but_not_copies():
+    assert rules.recurring([[1, 2, 3, 9], [4, 5, 6, 9], [7, 8, 10, 9]]) == {9}
+    assert rules.recurring([[1, 2, 3]] * 10) == set()
+
+
+def test_sample_takes_every_id_once(spark):
+    from framelark.llm.common import least_by_hash
+
+    rows = spark.createDataFrame([(0, 1)] * 500 + [(i, 1) for i in range(1, 60)], "doc_id long, quality int")
+    assert least_by_hash(rows, "quality", 40).count() == 40
+
+
 def test_rules_odd(odd_docs, no_docs, odd_texts, spark):
     got = rules.apply(odd_docs, rules.NO_FIELD).collect()
     assert len(got) == len(odd_texts)
