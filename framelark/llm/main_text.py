@@ -17,7 +17,8 @@ lines without text of their own (a list of links) or more.
 
 Defined results: null or empty html gives an empty text; a page without
 article text gives an empty text; pages of any length are parsed whole; a tag
-that the page's end cuts off is dropped; repeated rows stay rows.
+that the page's end cuts off is dropped; repeated rows stay rows; stretches that tie are
+all kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,13 @@ names its payload by digest.  ``sequences`` parses it into an ordered array of
 structs (position, kind, text, digest, caption): text and media keep the order
 of the page and a caption stays on its media item.  Payloads live in a store,
 a table of (digest, media) in the shared folder; ``resolve`` joins the media
-items to it by digest.
+items to it by digest, each with its position, so that what comes back lines up
+with the sequence again.
+
+``document_media`` makes such pages of documents: the text's own lines are its
+paragraphs, a figure of the payload follows the first of them and another one ends
+the page, each captioned with the number of its place.  The page is parsed as any
+other; ``aligned`` tells whether texts, media and captions came back in order.
 
 The store keeps a payload as a binary grey-scale image (PGM, P5) of 64 samples
 a row, 8 bits each, so that any bytes padded to a multiple of 64 come back as
@@ -16,7 +22,10 @@ may be split by AQE where one payload is frequent.
 
 Defined results: null or empty text is a payload of 64 zero bytes; equal texts
 give equal values; repeated rows and rows without id stay rows of their own;
-an empty table gives an empty result; texts of any length are stored whole.
+an empty table gives an empty result; texts of any length are stored whole; other
+columns are ignored.  Of broken markup: a caption that is left open ends with its
+figure, or with the page; one before its image waits for it; one without an image, or
+outside a figure, is text; scripts and styles are neither.
 """
 
 from __future__ import annotations
@@ -76,6 +85,11 @@ def feature(payload: bytes) -> str:
     return f"mean={samples.mean():.4f};std={samples.std():.4f};bright={int(bits, 2):016x}"
 
 
+# Elements that end a text, and those whose content is never shown.
+BLOCKS = frozenset("address article aside blockquote body dd div dl dt figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+UNSEEN = frozenset("script style template title noscript".split())
+
+
 class _Interleaved(HTMLParser):
     """Ordered text and media items of one page."""
 
@@ -83,8 +97,10 @@ class _Interleaved(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: dict | None = None
+        self.caption: list[str] | None = None  # of the open figcaption
+        self.waiting: str | None = None  # a caption whose image hasn't come yet
+        self.figure: list[dict] | None = None  # media of the open figure
+        self.unseen: str | None = None
 
     def _end_text(self) -> None:
         text = " ".join("".join(self.text).split())
@@ -96,35 +112,67 @@ class _Interleaved(HTMLParser):
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "digest": digest, "caption": None})
         return self.items[-1]
 
+    def _end_caption(self) -> None:
+        text = " ".join("".join(self.caption or ()).split())
+        self.caption = None
+        if text and self.figure:
+            self.figure[-1]["caption"] = text
+        elif text:
+            self.waiting = text
+
+    def _end_figure(self) -> None:
+        self._end_caption()
+        self._end_text()
+        if self.waiting:
+            self._add("text", self.waiting, None)
+        self.waiting = self.figure = None
+
     def handle_starttag(self, tag, attrs):
-        if tag == "img":
+        if tag in UNSEEN:
+            self.unseen = tag
+        elif tag == "img":
             self._end_text()
             named = dict(attrs)
             item = self._add("media", None, (named.get("src") or "").rpartition(":")[2] or None)
             item["caption"] = named.get("alt") or None
-            self.figure = item
+            if self.figure is not None:
+                self.figure.append(item)
+                if self.waiting:
+                    item["caption"], self.waiting = self.waiting, None
         elif tag == "figcaption":
             self._end_text()
-            self.caption = []
-        elif tag in ("p", "figure", "div", "article", "section", "h1", "h2", "h3", "li"):
-            self._end_text()
-            if tag == "figure":
-                self.figure = None
+            if self.figure is not None:
+                self._end_caption()
+                self.caption = []
+        elif tag == "figure":
+            self._end_figure()
+            self.figure = []
+        elif tag in BLOCKS:
+            if self.caption is None:
+                self._end_text()
+            else:
+                self.caption.append(" ")
 
     def handle_endtag(self, tag):
-        if tag == "figcaption" and self.caption is not None:
-            if self.figure is not None:
-                self.figure["caption"] = " ".join("".join(self.caption).split()) or self.figure["caption"]
-            self.caption = None
-        elif tag in ("p", "figure", "div", "article", "section", "h1", "h2", "h3", "li"):
-            self._end_text()
+        if tag in UNSEEN:
+            self.unseen = None
+        elif tag == "figcaption":
+            self._end_caption() if self.caption is not None else self._end_text()
+        elif tag == "figure":
+            self._end_figure()
+        elif tag in BLOCKS:
+            if self.caption is None:
+                self._end_text()
+            else:
+                self.caption.append(" ")
 
     def handle_data(self, data):
-        (self.text if self.caption is None else self.caption).append(data)
+        if not self.unseen:
+            (self.text if self.caption is None else self.caption).append(data)
 
     def end(self) -> list[dict]:
         self.close()
-        self._end_text()
+        self._end_figure()
         return self.items
 
 
@@ -144,8 +192,25 @@ def sequences(pages: DataFrame, key: str = "doc_id", column: str = "html") -> Da
     return pages.select(key, column).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, items {ITEM}")
 
 
-def figure_page(digest: str, caption: str) -> str:
-    return f'<article><p>{html.escape(caption)}</p><figure><img src="sha256:{digest}"><figcaption>{html.escape(caption)}</figcaption></figure></article>'
+def paragraphs(text: str | None) -> list[str]:
+    """The lines of a text that hold a word, white space made even."""
+    return [even for line in (text or "").split("\n") if (even := " ".join(line.split()))]
+
+
+def figure_page(parts: list[str], digest: str) -> str:
+    """A page of ``parts`` with a figure after the first one and another at the end, captions before or after their image."""
+    made = [f"<p>{html.escape(part, quote=False)}</p>" for part in parts]
+    made.insert(1, f'<figure><img src="sha256:{digest}"><figcaption>Figure 1</figcaption></figure>')
+    made.append(f'<figure><figcaption>Figure 2</figcaption><img src="sha256:{digest}"></figure>')
+    return f"<article>{''.join(made)}</article>"
+
+
+def aligned(items: list[dict], parts: list[str], digest: str) -> bool:
+    """Whether a parsed ``figure_page`` has its texts, media and captions in order."""
+    wanted = [("text", part, None, None) for part in parts]
+    wanted.insert(1, ("media", None, digest, "Figure 1"))
+    wanted.append(("media", None, digest, "Figure 2"))
+    return [(i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == wanted and [i["position"] for i in items] == list(range(len(items)))
 
 
 def store(docs: DataFrame) -> str:
@@ -195,21 +260,26 @@ def resolve(items: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def document_media(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Store every text as media, build a document that refers to it, parse it
-    and resolve its media item: one row per document."""
+    """Store every text as media, build the page of its paragraphs and figures, parse it
+    and resolve its media items: one row per document, that of its first figure."""
     made = spark.read.schema("digest string, media binary").parquet(store(docs))
 
     def refer(batches):
         for part in slices(batches, text="text"):
-            sizes, pages = [], []
+            rows = []
             for text in part.column("text").to_pylist():
                 raw = (text or "").encode("utf-8")
-                sizes.append(len(raw))
-                pages.append(figure_page(hashlib.sha256(pad(raw)).hexdigest(), f"{len(raw)} bytes of text"))
-            items = pa.array([parse(p) for p in pages], _ITEM)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), items], ["doc_id", "n_bytes", "items"])
+                parts, digest = paragraphs(text), hashlib.sha256(pad(raw)).hexdigest()
+                items = parse(figure_page(parts, digest))
+                media = [i for i in items if i["kind"] == "media"]
+                rows.append((len(raw), len(parts), aligned(items, parts, digest), media))
+            kinds = (pa.int64(), pa.int32(), pa.bool_(), _ITEM)
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_texts", "aligned", "items"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text").mapInArrow(refer, f"doc_id {kind}, n_bytes long, items {ITEM}").select("doc_id", "n_bytes", F.explode("items").alias("item")).where("item.kind = 'media'")
-    flat = found.select("doc_id", "n_bytes", F.col("item.position").alias("position"), F.col("item.caption").alias("caption"), F.col("item.digest").alias("digest"))
-    return resolve(flat, cut(features(made))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    read = docs.select("doc_id", "text").mapInArrow(refer, f"doc_id {kind}, n_bytes long, n_texts int, aligned boolean, items {ITEM}")
+    flat = read.select("doc_id", "n_bytes", "n_texts", "aligned", F.size("items").alias("n_media"), F.explode("items").alias("item"))
+    flat = flat.select("doc_id", "n_bytes", "n_texts", "n_media", "aligned", "item.position", "item.caption", "item.digest")
+    found = resolve(flat, cut(features(made))).where("caption = 'Figure 1'")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_texts", "n_media", "aligned")

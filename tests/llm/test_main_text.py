@@ -1,3 +1,5 @@
+import random
+
 from framelark.llm import main_text as mt
 
 ARTICLE = ["Title of it", "First & <paragraph> with some more words in it.", "Second paragraph, which has quite a few words as well, and then some.", "Short."]
@@ -53,3 +55,62 @@ def test_frame(odd_pages, no_pages):
     rows = {r.page_id: r for r in got.collect()}
     assert rows[1].text == "T\n\nHello & bye" and rows[3].text == rows[4].text == "" and rows[6].n_chars == len(("long text " * 20000).strip())
     assert got.count() == odd_pages.count() and mt.main_text(no_pages).count() == 0
+
+
+def brute_stretches(found, marked):
+    """Surge and dive by double loops over all windows."""
+    stripped = [(i, line) for i, line in enumerate(found) if line.kept]
+    total = {}
+    for k in range(len(stripped)):
+        total[k] = 0
+        for j in range(k - 1, k + 2):
+            if 0 <= j < len(stripped):
+                total[k] += stripped[j][1].weight
+    least = 0 if marked else 0.12 * max(total.values(), default=0)
+    member = [False] * len(stripped)
+    for k, (_, line) in enumerate(stripped):
+        if not line.weight or total[k] < least:
+            continue
+        member[k] = True
+        for way in (-1, 1):  # joined text before the surge; up to the dive after it
+            j = k + way
+            while 0 <= j < len(stripped) and (stripped[j][1].weight if way < 0 else total[j] > 0):
+                member[j] = True
+                j += way
+    made, k = [], 0
+    while k < len(stripped):
+        if not member[k]:
+            k += 1
+            continue
+        first = k
+        while k < len(stripped) and member[k]:
+            k += 1
+        last = k - 1
+        while not stripped[last][1].weight:
+            last -= 1
+        bound = made[-1][2] if made else 0
+        while first > bound and stripped[first - 1][1].heading:
+            first -= 1
+        made.append((stripped[first][0], stripped[last][0] + 1, last + 1))
+    return [m[:2] for m in made]
+
+
+def test_windows_against_brute_force():
+    r = random.Random(8)
+    windows = 0
+    for _ in range(3000):
+        found = [mt.Line("x", r.choice((0, 0, 0, 1, 5, 40, 300)), r.random() < 0.9, r.random() < 0.15) for _ in range(r.randrange(0, 25))]
+        marked = r.random() < 0.5
+        windows += sum(line.kept for line in found)
+        assert mt.stretches(found, marked) == brute_stretches(found, marked), (found, marked)
+    assert windows > 20_000
+
+
+def test_every_page_goes_through_the_windows(monkeypatch, odd_pages):
+    seen = []
+    keep = mt.stretches
+    monkeypatch.setattr(mt, "stretches", lambda found, marked: seen.append(marked) or keep(found, marked))
+    pages = [r.html for r in odd_pages.collect()]
+    for page in pages:
+        mt.extract(page)
+    assert len(seen) == len(pages) and True in seen and False in seen
