@@ -20,8 +20,8 @@
    set may miss and one more.  A list in which pairs across components would cost
    more than going on is split by the next class that its members share, and so on:
    a list's key is then the first classes, in one order for all, that a pair has in
-   common.  Documents of a template or with a passage meet in pairs only where they
-   have several rare classes in common as well.  The overlaps that classes add up to decide
+   common.  So documents of a template or with a passage meet in pairs, from some
+   thousands in a list on, only where they have more rare classes in common.  The overlaps that classes add up to decide
    which pairs get their sets attached.
 7. Pairs are filtered by the similarity that the union of their sketches
    estimates, then verified on the full sets.  The components of all links, found by
@@ -56,8 +56,9 @@ K = 128
 #: Deviations below the mean overlap at which a sketched pair is given up.
 SIGMAS = 5.0
 NUMBER, WHOLE = 75, 100  # similarity of 75 / 100 at least
-#: Members up to which a list of contested classes is paired as it is, and classes that a list's key has at most.
-SMALL_LIST, LEVELS = 16, 4
+#: Tests of pairs within a list's join that cost as much as one more entry made, written and
+#: shuffled, and classes that a list's key has at most.
+SPLIT_COST, LEVELS = 256, 4
 #: Rows up to which the ids of documents in pairs are broadcast to the texts; beyond, texts are shuffled.
 BROADCAST_MEMBERS = 500_000
 
@@ -229,12 +230,12 @@ def grown(entries: DataFrame) -> DataFrame:
 
 def met(profile: DataFrame) -> DataFrame:
     """Pairs of nodes of different components that may be similar: a, b.  A list
-    goes on to the next class where its pairs outnumber the entries that this makes, to
+    goes on to the next class where testing its pairs costs more than the entries that this makes, to
     keys of ``LEVELS`` classes; what is left then is paired as it is, so that no pair is lost."""
     start = [F.lit(0).cast("long").alias("key"), *[F.lit(v).alias(c) for c, v in (("last", -1), ("skipped", 0), ("common", 0))]]
     entries, made = cut(grown(profile.select("*", *start))), []
     for level in range(LEVELS):
-        splits = (F.col("m") > SMALL_LIST) & ((F.col("m") - F.col("most.m")) * F.col("m") > 2 * F.col("o")) & F.lit(level < LEVELS - 1)
+        splits = ((F.col("m") - F.col("most.m")) * F.col("m") > SPLIT_COST * F.col("o")) & F.lit(level < LEVELS - 1)
         sizes = entries.groupBy("key", "done", "component").agg(F.count("*").alias("m"), F.sum("options").alias("o"), F.min(F.struct("n", "node", "component")).alias("first"))
         lists = cut(
             sizes.groupBy("key", "done").agg(F.sum("m").alias("m"), F.sum("o").alias("o"), F.max(F.struct("m", "component")).alias("most"), F.count("*").alias("groups"), F.min("first").alias("first"))
