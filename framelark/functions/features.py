@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 EPS = 1e-12
 
+# The features of each group, in the order that models expect.
 GROUPS: dict[str, tuple[str, ...]] = {
     "basic": ("msg_count", "window_duration", "n_unique_ids_basic"),
-    "temporal": ("iat_mean", "iat_std", "iat_min", "iat_max", "iat_median", "iat_range", "iat_cv", "msg_rate_hz"),
+    "temporal": ("iat_mean", "iat_std", "iat_min", "iat_max", "iat_median", "iat_cv", "iat_range", "msg_rate_hz"),
     "temporal_id": ("dt_id_mean", "dt_id_std", "dt_id_min", "dt_id_max", "dt_id_cv"),
     "frequency": ("n_unique_ids", "id_diversity", "cmafid", "cmifid", "id_entropy", "n_repeated_ids", "max_id_share"),
     "dlc": ("dlc_mean", "dlc_std", "dlc_max"),

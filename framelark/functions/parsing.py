@@ -72,7 +72,18 @@ def label(raw: Column) -> Column:
 
 
 def numeric_label(raw: Column) -> Column:
-    return (F.coalesce(raw.cast("double"), F.lit(0.0)) != 0).cast("tinyint")
+    """1 for a number other than 0."""
+    return (F.coalesce(raw.try_cast("double"), F.lit(0.0)) != 0).cast("tinyint")
+
+
+def not_a_number(raw: Column) -> Column:
+    """Whether a text that isn't blank is no number; one such label makes a file's labels words."""
+    return (F.trim(raw) != "") & raw.try_cast("double").isNull()
+
+
+def numeric_id(raw: Column) -> Column:
+    """An id from a column of numbers; -1 for a missing one."""
+    return F.coalesce(raw.try_cast("long"), F.lit(-1).cast("long"))
 
 
 def last_field(fields: Column) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import product
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -38,7 +37,7 @@ def t_test_p(t: float, df: int) -> float:
 
 def wilcoxon_p(differences: list[float]) -> float | None:
     """Two-sided p-value of the signed-rank test: exact without ties and zeros up
-    to 20 pairs, else the normal approximation; null if all are zero."""
+    to 50 pairs, else the normal approximation; null if all are zero."""
     d = [x for x in differences if x]
     n = len(d)
     if not n:
@@ -47,8 +46,12 @@ def wilcoxon_p(differences: list[float]) -> float | None:
     rank = {v: (sizes.index(v) + 1 + len(sizes) - sizes[::-1].index(v)) / 2 for v in set(sizes)}
     plus = sum(rank[abs(x)] for x in d if x > 0)
     least = min(plus, n * (n + 1) / 2 - plus)
-    if n == len(differences) and len(rank) == n and n <= 20:
-        hits = sum(1 for signs in product((0, 1), repeat=n) if sum(r for r, s in zip(range(1, n + 1), signs) if s) <= least)
+    if n == len(differences) and len(rank) == n and n <= 50:
+        ways = [1] + [0] * (n * (n + 1) // 2)  # sign patterns by their sum of ranks, one rank after another
+        for r in range(1, n + 1):
+            for total in range(len(ways) - 1, r - 1, -1):
+                ways[total] += ways[total - r]
+        hits = sum(ways[: int(least) + 1])
         return min(1.0, 2 * hits / 2**n)
     ties = sum(c**3 - c for c in (sizes.count(v) for v in rank))
     spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,12 +49,17 @@ def _first_lines(rows: DataFrame) -> DataFrame:
     return rows.where("seq.start = 0").groupBy("file").agg(F.min_by("value", "seq").alias("head"))
 
 
+def _separator(sep: str) -> str:
+    """A pattern for ``sep`` outside of quotes: an even number of them follows."""
+    return "\\Q" + sep + "\\E" + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
 def _fields(sep: str) -> Column:
-    return F.transform(F.split("value", sep), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
+    return F.transform(F.split("value", _separator(sep)), lambda x: F.trim(F.regexp_replace(F.trim(x), '^"|"$', "")))
 
 
 def _names(head: str, sep: str) -> list[str]:
-    return [c.strip().strip('"') for c in head.split(sep)]
+    return [c.strip().strip('"') for c in re.split(re.escape(sep) + '(?=(?:[^"]*"[^"]*")*[^"]*$)', head)]
 
 
 def _layouts(spark: SparkSession, rows: DataFrame, resolve: Callable[[str], tuple | None]) -> DataFrame:
@@ -85,11 +91,12 @@ def _table(spark: SparkSession, path: str, pattern: str, sep: str, resolve: Call
     f = told.select("file", "seq", "t", "i", "d", "l", "header", _fields(sep).alias("f"))
     at = lambda k: F.get("f", F.col(k))
     raw_id = at("i")
-    hexes = f.groupBy("file").agg(F.max(parsing.looks_hex(raw_id)).alias("hexadecimal"))
     flag = F.when(F.col("header"), at("l")).otherwise(parsing.last_field(F.col("f")))
+    hexes = f.groupBy("file").agg(F.max(parsing.looks_hex(raw_id)).alias("hexadecimal"), F.max(F.coalesce(parsing.not_a_number(flag), F.lit(False))).alias("words"))
+    told_label = F.when(F.col("words"), parsing.label(flag)).otherwise(parsing.numeric_label(flag))
     return f.join(F.broadcast(hexes), "file").select(
         at("t").try_cast("double").alias("timestamp"), parsing.can_id(raw_id, F.col("hexadecimal")).alias("can_id"), F.when(F.col("d") >= 0, at("d").try_cast("double").cast("long")).alias("dlc"),
-        (label(at("t").try_cast("double")) if label else parsing.label(flag)).alias("label"), "file", "seq")
+        (label(at("t").try_cast("double")) if label else told_label).alias("label"), "file", "seq")
 
 
 @reader("generic_csv")
@@ -105,12 +112,12 @@ def _frame(raw: DataFrame, options: dict) -> DataFrame:
     t, i, d, label = name("timestamp_col", parsing.TIMESTAMP_NAMES), name("can_id_col", parsing.CAN_ID_NAMES), name("dlc_col", parsing.DLC_NAMES), name("label_col", parsing.LABEL_NAMES)
     if not (t and i and label):
         raise ValueError(f"no time, id or label among {raw.columns[:10]}")
-    numeric = dict(raw.dtypes)[label] != "string"
+    numeric, plain_ids = (dict(raw.dtypes)[c] != "string" for c in (label, i))
     rows = raw.select(F.col(f"`{t}`").alias("t"), F.col(f"`{i}`").alias("i"), (F.col(f"`{d}`") if d else F.lit(None)).alias("d"), F.col(f"`{label}`").alias("l"), F.col("_metadata.file_path").alias("file"),
                       F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")).alias("seq"))
     hexes = rows.groupBy("file").agg(F.max(parsing.looks_hex(F.col("i"))).alias("hexadecimal"))
     return rows.join(F.broadcast(hexes), "file").select(
-        F.col("t").try_cast("double").alias("timestamp"), parsing.can_id(F.col("i"), F.col("hexadecimal")).alias("can_id"), F.col("d").try_cast("long").alias("dlc"),
+        F.col("t").try_cast("double").alias("timestamp"), (parsing.numeric_id(F.col("i")) if plain_ids else parsing.can_id(F.col("i"), F.col("hexadecimal"))).alias("can_id"), F.col("d").try_cast("long").alias("dlc"),
         (parsing.numeric_label(F.col("l")) if numeric else parsing.label(F.col("l"))).alias("label"), "file", "seq")
 
 

@@ -47,4 +47,5 @@ def save_table(rows: DataFrame, path: str) -> None:
 
 
 def save_features(rows: DataFrame, path: str, by: tuple[str, ...] = ("dataset", "split")) -> None:
-    rows.write.mode("overwrite").partitionBy(*[c for c in by if c in rows.columns]).parquet(path)
+    """Feature rows by dataset and split; only partitions that ``rows`` has are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*[c for c in by if c in rows.columns]).parquet(path)

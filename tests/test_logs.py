@@ -99,3 +99,29 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "own.yaml"), ["a.e=[1, x]", "d=7"]) == {"a": {"b": 5, "c": 2, "e": [1, "x"]}, "d": 7}
     with pytest.raises(ValueError):
         config.overrides(["a"])
+
+
+def test_types_of_columns(spark, tmp_path):
+    """Labels as numbers, quoted fields, other separators, and Parquet ids as numbers with gaps."""
+    numbers = "timestamp,id,dlc,label\n" + "".join(f"{k}.0,10,8,{v}\n" for k, v in enumerate(["1.0", "0.0", "2", "0"]))
+    words = 'timestamp,id,note,label\n1.0,10,"a, b",Attack\n2.0,11,c,Normal\n'
+    for name, text in (("a.csv", numbers), ("b.csv", words)):
+        (tmp_path / name).write_text(text)
+    got = logs.read(spark, "generic_csv", str(tmp_path)).orderBy("capture", "timestamp").collect()
+    assert [(r.capture, r.can_id, r.label) for r in got] == [(0, 10, 1), (0, 10, 0), (0, 10, 1), (0, 10, 0), (1, 10, 1), (1, 11, 0)]
+    (tmp_path / "bars").mkdir()
+    (tmp_path / "bars" / "c.csv").write_text("timestamp|id|label\n1.0|10|1\n")
+    assert logs.read(spark, "generic_csv", str(tmp_path / "bars"), sep="|").count() == 1
+    for kind in ("long", "double"):
+        place = f"{tmp_path}/{kind}.parquet"
+        spark.createDataFrame([(1.0, 10, 1), (2.0, None, 0), (3.0, 12, 2)], "timestamp double, id long, label long").selectExpr("timestamp", f"cast(id as {kind}) id", "label").coalesce(1).write.parquet(place)
+        got = logs.read(spark, "generic_csv", place).orderBy("timestamp").collect()
+        assert [(r.can_id, r.label) for r in got] == [(10, 1), (12, 1)]
+
+
+def test_features_of_several_datasets_stay(spark, tmp_path):
+    from framelark.sources import runlog
+
+    for name in ("one", "two", "two"):
+        runlog.save_features(spark.createDataFrame([(name, "train", 1.0)], "dataset string, split string, x double"), str(tmp_path / "f"))
+    assert sorted(r.dataset for r in spark.read.parquet(str(tmp_path / "f")).collect()) == ["one", "two"]
