@@ -8,7 +8,8 @@ The trees learn from labelled urls, by default those that a rule decides.
 Features are length, depth, digit ratio, entropy, parameter counts, host shape
 and the smoothed share of blocked urls among those with the same suffix or section.  Every
 feature is cut at quantiles of the labelled urls; urls with the same bins
-become one weighted cell before boosting, so that a round reads cells, not urls.
+become one weighted cell before boosting, so that a round reads cells, not urls;
+a cell keeps the margin of the trees so far.
 A round's histograms (node, feature, bin) have a fixed size; only they, the
 quantiles and the hashed suffix table reach the driver, where splits are chosen.
 
@@ -91,37 +92,37 @@ class Trees(NamedTuple):
     trees: tuple[tuple[dict[int, tuple[int, int]], dict[int, float]], ...]
 
 
-def _walk(splits: dict[int, tuple[int, int]], levels: int, value, node: int = 1) -> Column:
-    """``value`` of the node that a row of bins b0, b1, ... reaches ``levels`` below ``node``; nodes have heap numbers."""
-    if not levels:
-        return F.lit(value(node))
-    feature, edge = splits[node]
-    left, right = (_walk(splits, levels - 1, value, 2 * node + side) for side in (0, 1))
-    return F.when(F.col(f"b{feature}") > edge, right).otherwise(left)
+def _constants(values) -> Column:
+    """An array of constants, parsed at once: a call to the JVM for each of them would take longer than the jobs."""
+    return F.expr(f"array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)})")
 
 
-def _margin(trees) -> Column:
-    total = F.lit(0.0)
-    for splits, leaves in trees:
-        total = total + _walk(splits, DEPTH, leaves.__getitem__)
-    return total
+def _node(splits: dict[int, tuple[int, int]], levels: int, root: Column) -> Column:
+    """Heap number of the node that a row of ``bins`` reaches ``levels`` below ``root``.  Splits
+    are read from arrays, so that every tree runs the same generated code."""
+    features, edges = (_constants(splits[k][i] for k in range(1, 2**levels)) for i in (0, 1))
+    node = root
+    for _ in range(levels):
+        node = 2 * node + (F.get(F.col("bins"), F.get(features, node - 1)) > F.get(edges, node - 1)).cast("int")
+    return node
+
+
+def _value(splits: dict[int, tuple[int, int]], leaves: dict[int, float], root: Column) -> Column:
+    """A tree's value of a row of ``bins``."""
+    return F.get(_constants(leaves[k] for k in sorted(leaves)), _node(splits, DEPTH, root) - 2**DEPTH)
 
 
 def _featured(rows: DataFrame, suffixes) -> DataFrame:
     """Adds f10 to f12, the blocked shares of suffixes and section."""
     for i, shares in enumerate(suffixes):
-        rows = rows.withColumn(f"f{10 + i}", F.element_at(F.array(*map(F.lit, shares)), F.col(f"s{i}") + 1))
+        rows = rows.withColumn(f"f{10 + i}", F.get(_constants(shares), F.col(f"s{i}")))
     return rows
 
 
-def _bins(edges) -> list[Column]:
-    made = []
-    for i, own in enumerate(edges):
-        bin_ = F.lit(0)
-        for e in own:
-            bin_ = bin_ + (F.col(f"f{i}") > e).cast("int")
-        made.append(bin_.alias(f"b{i}"))
-    return made
+def _bins(edges) -> Column:
+    """``bins``: for each feature, how many of its edges a row exceeds."""
+    exceeded = [" + ".join(f"CAST(f{i} > {e!r}D AS INT)" for e in own) for i, own in enumerate(edges)]
+    return F.expr(f"array({', '.join(exceeded)})").alias("bins")
 
 
 def _best(found: dict[tuple[int, int, int], tuple[float, float]], node: int) -> tuple[int, int] | None:
@@ -145,30 +146,30 @@ def _best(found: dict[tuple[int, int, int], tuple[float, float]], node: int) ->
 def fit(labelled: DataFrame) -> Trees:
     """Train on ``lexical`` rows with a column ``blocked`` of 0 and 1."""
     rows = cut(labelled)
-    prior = rows.agg(F.avg("blocked").alias("p")).first().p
-    if prior is None:
+    at = F.posexplode(F.array(*[f"s{i}" for i in range(STATISTICS)])).alias("i", "s")
+    held = rows.select("blocked", at).groupBy("i", "s").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")).collect()
+    if not held:
         return Trees((), (), ())
-    suffixes = []
-    for i in range(STATISTICS):
-        shares = [prior] * SUFFIX_BUCKETS
-        for r in rows.groupBy(f"s{i}").agg(F.sum("blocked").alias("b"), F.count("*").alias("n")).collect():
-            shares[r[0]] = (r.b + 10 * prior) / (r.n + 10)
-        suffixes.append(tuple(float(x) for x in shares))
+    prior = sum(r.b for r in held) / sum(r.n for r in held)
+    shares = [[prior] * SUFFIX_BUCKETS for _ in range(STATISTICS)]
+    for r in held:
+        shares[r.i][r.s] = (r.b + 10 * prior) / (r.n + 10)
+    suffixes = tuple(tuple(float(x) for x in own) for own in shares)
     rows = _featured(rows, suffixes)
     at = [k / BINS for k in range(1, BINS)]
     quantiles = rows.agg(*[F.percentile_approx(f"f{i}", at, 2000).alias(f"q{i}") for i in range(len(FEATURES))]).first()
     edges = tuple(tuple(sorted(set(q))) for q in quantiles)
-    names = [f"b{i}" for i in range(len(FEATURES))]
-    cells = cut(rows.select("blocked", *_bins(edges)).groupBy(*names).agg(F.count("*").cast("double").alias("n"), F.sum("blocked").cast("double").alias("y")))
-    trees: list = []
-    for _ in range(TREES):
-        chance = 1 / (1 + F.exp(-_margin(trees)))
-        state = cells.select(*names, (F.col("n") * chance - F.col("y")).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"))
+    cells = rows.select("blocked", _bins(edges)).groupBy("bins").agg(F.count("*").cast("double").alias("n"), F.sum("blocked").cast("double").alias("y"))
+    cells = cut(cells.select("bins", "n", "y", F.lit(0.0).alias("margin"), F.lit(1).alias("root")))
+    root, trees = F.col("root"), []
+    while True:
+        chance = 1 / (1 + F.exp(-F.col("margin")))
+        state = cells.select("bins", "root", (F.col("n") * chance - F.col("y")).alias("g"), (F.col("n") * chance * (1 - chance)).alias("h"))
         splits: dict[int, tuple[int, int]] = {}
         totals: dict[int, tuple[float, float]] = {}
         for level in range(DEPTH):
-            items = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(b).alias("bin")) for i, b in enumerate(names)]))
-            sums = state.select(_walk(splits, level, int).alias("node"), "g", "h", items.alias("at")).groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+            items = state.select(_node(splits, level, root).alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin"))
+            sums = items.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
             found = {(r.node, r.feature, r.bin): (r.g, r.h) for r in sums}
             for node in range(2**level, 2 ** (level + 1)):
                 best = _best(found, node) or (0, BINS)  # (0, BINS): all rows go left
@@ -178,15 +179,20 @@ def fit(labelled: DataFrame) -> Trees:
                     totals[2 * node + side] = math.fsum(v[0] for v in own), math.fsum(v[1] for v in own)
         leaves = {k: -RATE * totals[k][0] / (totals[k][1] + PENALTY) for k in range(2**DEPTH, 2 ** (DEPTH + 1))}
         trees.append((splits, leaves))
-    return Trees(tuple(suffixes), edges, tuple(trees))
+        if len(trees) == TREES:
+            return Trees(suffixes, edges, tuple(trees))
+        cells = cut(cells.withColumn("margin", F.col("margin") + _value(splits, leaves, root)))
 
 
 def blocked(rows: DataFrame, model: Trees) -> DataFrame:
     """``lexical`` rows -> page_id, host, path, chance (that the url is one to block)."""
     if not model.trees:
         return rows.select("page_id", "host", "path", F.lit(0.0).alias("chance"))
-    binned = _featured(rows, model.suffixes).select("page_id", "host", "path", *_bins(model.edges))
-    return binned.select("page_id", "host", "path", (1 / (1 + F.exp(-_margin(model.trees)))).alias("chance"))
+    binned = _featured(rows, model.suffixes).select("page_id", "host", "path", _bins(model.edges))
+    margin = F.lit(0.0)
+    for splits, leaves in model.trees:
+        margin = margin + _value(splits, leaves, F.lit(1))
+    return binned.select("page_id", "host", "path", (1 / (1 + F.exp(-margin))).alias("chance"))
 
 
 def judge(pages: DataFrame, rules=RULES, model: Trees | None = None) -> DataFrame:
