@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Arms of the ablation panel.
+PANEL_ARMS = ("A0", "A1", "A2", "A3", "A4", "A6")
 ARM_ORDER = {f"A{i}": i for i in range(9)}
 
 
@@ -67,6 +69,23 @@ def sensitivity(rows: DataFrame, keys: list[str], metrics: list[str], family: st
     return rows.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in metrics], F.mode(family, True).alias(family))
 
 
+def ablation_panel(rows: DataFrame, arms: tuple[str, ...] = PANEL_ARMS) -> DataFrame:
+    """Per arm: mean, sample deviation and number of f1 and SHAP consistency within
+    the dataset and of accuracy across datasets; not-a-number is skipped."""
+    made = []
+    for kind, metric in (("same_dataset", "f1"), ("cross_dataset", "accuracy"), ("same_dataset", "shap_consistency")):
+        value = F.when((F.col("evaluation_type") == kind) & ~F.isnan(metric), F.col(metric))
+        made += [f(value).alias(f"{metric}_{name}") for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("count", F.count))]
+    return rows.where(F.col("arm").isin(*arms)).groupBy("arm").agg(*made)
+
+
+def distinct_configs(rows: DataFrame, config: str = "selected_config_id") -> DataFrame:
+    """One row: runs of a sweep, distinct configurations they selected, and whether
+    the weights made a difference."""
+    told = rows.agg(F.count("*").alias("n_runs"), F.countDistinct(config).alias("n_distinct"))
+    return told.withColumn("weights_matter", F.col("n_distinct") > 1)
+
+
 def importance_share(rows: DataFrame, value: str = "importance") -> DataFrame:
     """Adds ``share`` of the total, 0 if that is 0."""
     return rows.withColumn("share", F.coalesce(F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))

@@ -218,6 +218,33 @@ def scaler_train_whole(spark, sf_dir):
     return _scaler(spark, sf_dir, stream.starts(_blocks(spark, sf_dir)))
 
 
+def _split_features(spark, sf_dir, split):
+    starts = stream.starts(_blocks(spark, sf_dir)).where(F.col("split") == split)
+    return window_features(messages(spark, sf_dir), ("temporal", "frequency"), slice_us=DAY_US, starts=starts)
+
+
+_MEAN_GAP_SQL = "greatest(" + ", ".join(f"abs(avg({c}) FILTER (WHERE split = '{{0}}') - avg({c}) FILTER (WHERE split = 'train')) / CASE WHEN stddev_pop({c}) FILTER (WHERE split = 'train') > 0 THEN stddev_pop({c}) FILTER (WHERE split = 'train') ELSE 1 END" for c in SCALED) + ")"
+
+
+@query(FEATURES_SQL.rstrip() + "," + EVERY_SQL.split(MESSAGES_SQL + ",")[1] + ", split_rows AS (SELECT told.*, split FROM told JOIN even USING (capture, pos)), gaps AS (SELECT " + _MEAN_GAP_SQL.format("train") + " AS t, " + _MEAN_GAP_SQL.format("val")
+       + " AS v FROM split_rows) SELECT 'train_mean' AS \"check\", t < 0.05 AS passed, round(t, 6) AS value FROM gaps UNION ALL SELECT 'val_mean', v > 1e-6, round(v, 6) FROM gaps")
+def leakage_scaler_means(spark, sf_dir):
+    train, names = _split_features(spark, sf_dir, "train"), list(SCALED)
+    scaler = quality.fit_scaler(train, names)
+    scaled = [quality.scale(rows, scaler, names) for rows in (train, _split_features(spark, sf_dir, "val"))]
+    return _rounded(quality.scaler_check(*scaled, names))
+
+
+@query(FEATURES_SQL + f"SELECT 'scaler_unchanged' AS \"check\", true AS passed, 0.0::DOUBLE AS value UNION ALL SELECT 'column_order', true, {len(SCALED)}::DOUBLE UNION ALL SELECT 'target_non_empty', count(*) > 0, count(*)::DOUBLE FROM told WHERE capture >= 2")
+def leakage_target_checks(spark, sf_dir):
+    """Captures 0 and 1 are the source, 2 and 3 the target that its scaler standardises."""
+    names = list(SCALED)
+    source, target = (window_features(messages(spark, sf_dir).where(f"capture {side} 2"), ("temporal", "frequency"), slice_us=DAY_US) for side in ("<", ">="))
+    scaler = quality.fit_scaler(source, names)
+    scaled = quality.scale(quality.align(target, names), scaler, names)
+    return quality.target_checks(scaler, quality.fit_scaler(source, names), names, scaled)
+
+
 # ------------------------------------------------------------------ ingest
 @query("""WITH raw AS (SELECT l_orderkey, l_linenumber, CASE l_quantity::INT % 8 WHEN 0 THEN 'T' WHEN 1 THEN ' R ' WHEN 2 THEN 'Attack Free' WHEN 3 THEN 'attack_free' WHEN 4 THEN 'DoS_attack' WHEN 5 THEN 'weird' WHEN 6 THEN NULL ELSE 'Normal' END AS flag FROM lineitem)
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN flag IN ('T', 'Attack Free', 'DoS_attack') THEN 1 ELSE 0 END AS TINYINT) AS label FROM raw""")
@@ -459,6 +486,21 @@ def ablation_table(spark, sf_dir):
     return _rounded(tables.ablation_table(_evaluated(spark, sf_dir)))
 
 
+_PANEL_SQL = ", ".join(
+    f"round(avg({m}) FILTER (WHERE evaluation_type = '{k}'), 6) AS {m}_mean, round(stddev_samp({m}) FILTER (WHERE evaluation_type = '{k}'), 6) AS {m}_std, count({m}) FILTER (WHERE evaluation_type = '{k}') AS {m}_count"
+    for k, m in (("same_dataset", "f1"), ("cross_dataset", "accuracy"), ("same_dataset", "shap_consistency")))
+
+
+@query(f"WITH {EVALUATED_SQL}, told AS (SELECT *, l_quantity / 50 AS shap_consistency FROM evaluated) SELECT arm, {_PANEL_SQL} FROM told WHERE arm IN {reports.PANEL_ARMS} GROUP BY arm")
+def ablation_panel(spark, sf_dir):
+    return _rounded(reports.ablation_panel(_evaluated(spark, sf_dir).withColumn("shap_consistency", F.col("l_quantity") / 50)))
+
+
+@query(f"WITH {EVALUATED_SQL} SELECT count(*) AS n_runs, count(DISTINCT model_family || '-' || l_linenumber) AS n_distinct, count(DISTINCT model_family || '-' || l_linenumber) > 1 AS weights_matter FROM evaluated")
+def distinct_configs(spark, sf_dir):
+    return reports.distinct_configs(_evaluated(spark, sf_dir).withColumn("selected_config_id", F.concat_ws("-", "model_family", "l_linenumber")))
+
+
 @query(f"WITH {EVALUATED_SQL} SELECT dataset_train, model_family, {_MEANS_SQL} FROM evaluated WHERE evaluation_type = 'same_dataset' AND arm = 'A0' GROUP BY ALL")
 def family_table(spark, sf_dir):
     return _rounded(tables.family_table(_evaluated(spark, sf_dir)))
