@@ -2,9 +2,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framelark import cli
-from framelark.operators import tables
+from framelark.operators import quality, reports, tables
 from framelark.search import arms
 from framelark.search.space import DEFAULTS, SPACE
 from framelark.sources import logs
@@ -64,3 +65,17 @@ def test_command_line(spark, tmp_path):
     score, contract = __import__("framelark.search.bundle", fromlist=["load"]).load(str(next((out / "models").iterdir())))
     assert contract["window"] == 10 and 0 <= score(np.zeros((1, len(contract["features"]))))[0] <= 1
     assert len(arms.ARMS) == 9
+
+
+def test_target_checks_fail(spark):
+    target = spark.createDataFrame([(1.0, 2.0, 1)], "a double, b double, y int")
+    scaler = quality.fit_scaler(target, ["a", "b"])
+    told = lambda *args: {r[0]: r.passed for r in quality.target_checks(scaler, *args).collect()}
+    assert told(scaler, ["a", "b"], target) == {"scaler_unchanged": True, "column_order": True, "target_non_empty": True}
+    moved = quality.fit_scaler(target.withColumn("a", F.lit(3.0)), ["a", "b"])
+    assert told(moved, ["a", "b"], target.select("b", "a", "y").limit(0)) == {"scaler_unchanged": False, "column_order": False, "target_non_empty": False}
+
+
+def test_distinct_configs_of_nothing(spark):
+    rows = spark.createDataFrame([], "selected_config_id string")
+    assert tuple(reports.distinct_configs(rows).first()) == (0, 0, False)
