@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import argparse
 import json
+from functools import reduce
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from . import config
 from .functions.objective import Objective
 from .operators import reports, tables
@@ -66,30 +69,43 @@ def main(args: list[str] | None = None) -> int:
     spark, settings, goal = session(), settings_of(cfg), objective_of(cfg)
     sources = sources_of(spark, cfg)
     seeds, first = cfg.get("run", {}).get("seeds", [0]), given.dataset or next(iter(sources))
-    failed = 0
+    stamp, logged, failed = runlog.new_session(), 0, 0
+    runlog.save_records(spark, [runlog.environment() | {"session": stamp, "seeds": seeds}], str(out / "artifacts" / "environment"))
     for command in ("pipeline", "ablation", "sensitivity") if given.command == "all" else (given.command,):
+        traces: list[dict] = []
         try:
             if command == "pipeline":
+                features = []
                 for name, rows in sources.items():
                     stats = reports.stream_statistics(rows)
                     (out / f"statistics_{name}.md").write_text(runlog.markdown(stats, name))
                     if given.save_features:
                         made = experiments.prepare(rows, settings)
-                        flat = [(name, s, *map(float, x), int(y)) for s, (xs, ys) in made.parts.items() for x, y in zip(xs, ys)]
-                        frame = spark.createDataFrame(flat, "dataset string, split string, " + "".join(f"{n} double, " for n in made.names) + "label int")
-                        runlog.save_features(frame, str(out / "features"))
+                        features.append(made.scaled.select(F.lit(name).alias("dataset"), "split", "capture", "pos", *made.names, F.col("y").alias("label")))
+                if features:
+                    runlog.save_features(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), features), str(out / "features"))
                 continue
             if command == "metalearning":
-                records = experiments.run_arm(spark, experiments.ARMS["A0"], {first: sources[first]}, first, settings, seeds[0], goal, targets=[])
+                models = None if given.no_save_models else str(out / "models")
+                ready = experiments.prepare(sources[first], settings)
+                records = [r for seed in seeds for r in experiments.run_arm(spark, experiments.ARMS["A0"], sources, first, settings, seed, goal, ready, keep=models, traces=traces)]
             elif command == "crossdataset":
-                records = [r for s in sources for seed in seeds for r in experiments.run_arm(spark, experiments.ARMS[given.arm], sources, s, settings, seed, goal)]
+                records = [r for s in sources for seed in seeds for r in experiments.run_arm(spark, experiments.ARMS[given.arm], sources, s, settings, seed, goal, traces=traces)]
             elif command == "ablation":
-                records = experiments.ablation(spark, sources, settings, given.arms or cfg.get("ablation", {}).get("arms", list(experiments.ARMS)), seeds, None if given.no_save_models else str(out / "models"))
+                records = experiments.ablation(spark, sources, settings, given.arms or cfg.get("ablation", {}).get("arms", list(experiments.ARMS)), seeds, None if given.no_save_models else str(out / "models"), traces)
             else:
-                records = [{"run_id": f"S-{r['alpha']}-{r['beta']}-{r['gamma']}-{r['seed']}", "evaluation_type": "sensitivity", **r} for r in experiments.sensitivity(spark, sources[first], settings, [tuple(g) for g in cfg.get("sensitivity", {}).get("grid", experiments.GRID)], seeds)]
-            runlog.append(spark, records, str(out / "runs"))
+                records = [{"evaluation_type": "sensitivity", "arm": "sensitivity", "dataset_train": first, "model_family": r["family"], **r} for r in experiments.sensitivity(spark, sources[first], settings, [tuple(g) for g in cfg.get("sensitivity", {}).get("grid", experiments.GRID)], seeds)]
+            runlog.append(spark, runlog.stamp(records, command, stamp, logged), str(out / "runs"))
+            logged += len(records)
+            for kind in experiments.TRACES:
+                runlog.save_records(spark, [r for t in traces for r in t[kind]], str(out / "artifacts" / f"{command}_{kind}"))
             table = runlog.table(runlog.history(spark, str(out / "runs")))
             runlog.save_table(table.select(*[c for c, t in table.dtypes if not t.startswith("array")]), str(out / "runs_csv"))
+            table = table.where((F.col("session") == stamp) & (F.col("experiment") == command))  # the tables tell this session's runs
+            if command == "sensitivity":
+                told = reports.sensitivity(table, ["alpha", "beta", "gamma"], ["accuracy", "consistency", "complexity"])
+                (out / "sensitivity.md").write_text(runlog.markdown(told.orderBy("alpha", "beta", "gamma"), "weights"))
+                (out / "configurations.md").write_text(runlog.markdown(reports.distinct_configs(table, "config_id"), "distinct configurations"))
             if command == "ablation":
                 for name, made in {"ablation": tables.ablation_table(table), "transfer": tables.transfer_table(table), "agreement": tables.agreement_table(table)}.items():
                     (out / f"{name}.md").write_text(runlog.markdown(tables.presented(made), name))

@@ -75,7 +75,8 @@ def finished_seeds(runs: DataFrame) -> DataFrame:
 
 def statistical_tests(runs: DataFrame, reference: str = "A0", metrics: tuple[str, ...] = ("f1", "accuracy", "shap_consistency"), alpha: float = 0.05) -> DataFrame:
     """Each arm against the reference, paired by datasets and seed, for both kinds of
-    evaluation.  Repeated runs of a pair are averaged first.  Verdicts need 5 pairs."""
+    evaluation.  Repeated runs of a pair are averaged first.  Verdicts need 5 pairs;
+    n_seeds and n_dataset_pairs tell what the pairs are made of."""
     spark, on = runs.sparkSession, ["evaluation_type", "dataset_train", "dataset_test", "seed"]
     names = _known(runs, list(metrics))
     mean = runs.where(F.col("evaluation_type").isin("same_dataset", "cross_dataset")).groupBy("arm", *on).agg(*[F.avg(m).alias(m) for m in names])
@@ -83,10 +84,13 @@ def statistical_tests(runs: DataFrame, reference: str = "A0", metrics: tuple[str
     told = paired(base, other, on, names, ["evaluation_type", "arm"])
     long = lambda rows, value, keys: rows.unpivot(keys, names, "metric", value)
     pairs = long(base.drop("arm"), "x", on).join(long(other, "z", ["arm", *on]), [*on, "metric"]).where("x is not null and z is not null and not isnan(x) and not isnan(z)")
-    lists = pairs.groupBy("evaluation_type", "arm", "metric").agg(F.sort_array(F.collect_list(F.col("x") - F.col("z"))).alias("d"))
+    lists = pairs.groupBy("evaluation_type", "arm", "metric").agg(
+        F.sort_array(F.collect_list(F.col("x") - F.col("z"))).alias("d"), F.countDistinct("seed").alias("n_seeds"),
+        F.countDistinct(F.struct("dataset_train", "dataset_test")).alias("n_dataset_pairs"),
+    )
     made = []
     for r in told.join(lists, ["evaluation_type", "arm", "metric"]).collect():  # a row for each arm, kind and metric
         t_p = t_test_p(r.t, r.n - 1) if r.t is not None else None
         w_p = wilcoxon_p(list(r.d)) if r.n >= 5 and r.t is not None else None
-        made.append((r.evaluation_type, r.arm, r.metric, r.n, r.mean_diff, r.t, t_p, r.cohens_d, w_p, r.sufficient_power, (t_p < alpha) if t_p is not None and r.n >= 5 else None))
-    return spark.createDataFrame(made, "evaluation_type string, arm string, metric string, n long, mean_diff double, t double, p double, cohens_d double, wilcoxon_p double, sufficient_power boolean, significant boolean")
+        made.append((r.evaluation_type, r.arm, r.metric, r.n, r.mean_diff, r.t, t_p, r.cohens_d, w_p, r.sufficient_power, (t_p < alpha) if t_p is not None and r.n >= 5 else None, r.n_seeds, r.n_dataset_pairs))
+    return spark.createDataFrame(made, "evaluation_type string, arm string, metric string, n long, mean_diff double, t double, p double, cohens_d double, wilcoxon_p double, sufficient_power boolean, significant boolean, n_seeds long, n_dataset_pairs long")

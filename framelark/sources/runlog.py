@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import platform
+import uuid
+import warnings
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +21,50 @@ LEADING = (
 )
 
 
+def new_session() -> str:
+    """A name for one process's runs: its start in UTC and a random part, so that no other session has it."""
+    return f"{datetime.now(timezone.utc):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:6]}"
+
+
+def stamp(records: list[dict], experiment: str, session: str, first: int = 0) -> list[dict]:
+    """Records with a run_id that no other session makes, the time and their place in
+    the session, counted from ``first``."""
+    now = datetime.now(timezone.utc).isoformat(timespec="microseconds")
+    return [{**r, "run_id": f"{experiment}-{session}-{k:05d}", "experiment": experiment, "session": session, "timestamp": now, "place": k} for k, r in enumerate(records, first)]
+
+
+def environment() -> dict:
+    """What a run's times depend on."""
+    return {"python": platform.python_version(), "platform": platform.platform(), "processor": platform.processor() or "unknown", "cpu_count": os.cpu_count()}
+
+
+def _lines(spark: SparkSession, records: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(json.dumps(r, sort_keys=True, default=str),) for r in records], "value string").coalesce(1)
+
+
 def append(spark: SparkSession, records: list[dict], path: str) -> None:
     """Add records to the log."""
-    import json
+    _lines(spark, records).write.mode("append").text(path)
+
 
-    rows = spark.createDataFrame([(json.dumps(r, sort_keys=True, default=str),) for r in records], "value string")
-    rows.coalesce(1).write.mode("append").text(path)
+def save_records(spark: SparkSession, records: list[dict], path: str) -> None:
+    """Records whose keys may differ, such as search traces, as JSON lines; nothing is written without records."""
+    if records:
+        _lines(spark, records).write.mode("overwrite").text(path)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """All records; blank and malformed lines are left out."""
+    """All records; blank lines are left out, and so are malformed ones, with a warning that counts them."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    malformed = lines.where(F.from_json("value", "map<string,string>").isNull()).count()
+    if malformed:
+        warnings.warn(f"{path}: {malformed} malformed lines left out", stacklevel=2)
     return spark.read.option("mode", "DROPMALFORMED").json(path)
 
 
 def table(rows: DataFrame) -> DataFrame:
-    """The last record of each run, leading columns first, the others by name."""
-    kept = last_of(rows, "run_id", [c for c in ("timestamp",) if c in rows.columns] or ["run_id"])
+    """The last record of each run by time and place, leading columns first, the others by name."""
+    kept = last_of(rows, "run_id", [c for c in ("timestamp", "place") if c in rows.columns] or ["run_id"])
     lead = [c for c in LEADING if c in rows.columns]
     return kept.select(*lead, *sorted(c for c in rows.columns if c not in lead))
 
