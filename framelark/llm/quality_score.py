@@ -10,9 +10,11 @@ seen fill a histogram of raw scores, on which pool-adjacent-violators gives the
 monotone map from raw score to the probability of label 1.
 
 Defined results: null and empty texts have statistics of their own (zeros)
-and get a score like any other; each labelled row counts once, labels other
-than 0 and 1 don't; without labelled rows every score is 0.5; equal texts get
-equal scores; labels, lang, source and doc_id are never inputs of a score.
+and get a score like any other; every pair of a text and a label of its id counts
+once, so an id with k texts and m labels counts k * m times; labels other than 0 and 1
+don't count; without labelled rows every score is 0.5; equal texts get
+equal scores and repeated rows stay rows; texts of any length are measured whole; an
+empty table gives an empty result; other columns are ignored; labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def fit(stats: DataFrame, labels: DataFrame, learn: Column | None = None) -> Mod
         yield pa.RecordBatch.from_arrays([pa.array([left.ravel().tolist()]), pa.array([right.tolist()])], ["left", "right"])
 
     train = rows.where("not held")
-    sums = (train if said.n < 200 else train.repartition(FIT_PARTITIONS)).mapInArrow(add, "left array<double>, right array<double>").collect()
+    sums = train.repartition(FIT_PARTITIONS).mapInArrow(add, "left array<double>, right array<double>").collect()
     left = sum((np.array(s.left) for s in sums), np.zeros(size * size)).reshape(size, size)
     right = sum((np.array(s.right) for s in sums), np.zeros(size))
     total = max(1.0, left[-1, -1])

@@ -143,3 +143,57 @@ def test_score_odd(odd_docs, no_docs, odd_texts, spark):
 def test_pool_is_monotone():
     got = scores.pool(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 1, 1]))
     assert (np.diff(got) >= 0).all() and got[1] == pytest.approx(2 / 3)
+
+
+def rates(counts, positives):
+    """Isotonic rates by their definition, in quadratic time a place."""
+    n = len(counts)
+    mean = lambda i, j: sum(positives[i : j + 1]) / sum(counts[i : j + 1])
+    return [max(min(mean(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+
+
+def test_pool_against_its_definition():
+    rng = np.random.default_rng(5)
+    for n in range(1, 25):
+        counts = rng.integers(1, 6, n)
+        positives = rng.integers(0, counts + 1)
+        assert scores.pool(counts, positives) == pytest.approx(rates(counts.tolist(), positives.tolist()))
+
+
+def test_score_against_dense_solution(spark):
+    """Weighted ridge by stacked least squares, isotonic rates by definition, one row at a time."""
+    import zlib
+
+    docs, labels = labelled(spark, 240)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    told = [(r.doc_id, float(r.quality)) for r in labels.collect() if r.quality in (0, 1) and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    ids, y = [i for i, _ in told], np.array([q for _, q in told])
+    assert len(set(ids)) < len(ids)  # each label of an id counts
+    x = np.array([scores.statistics(texts[i]) for i in ids])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+    weigh = np.where(y > 0.5, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    held = np.array([zlib.crc32(f"calibrate:{i}".encode()) % 4 == 0 for i in ids])
+    lifted = scores.lift(x, mean, scale)
+    own, w = lifted[~held], np.sqrt(weigh[~held] / weigh[~held].sum())
+    size = own.shape[1]
+    weight = np.linalg.lstsq(np.vstack([own * w[:, None], np.sqrt(scores.RIDGE) * np.eye(size)]), np.r_[y[~held] * w, np.zeros(size)], rcond=None)[0]
+    step = (scores.HIGH - scores.LOW) / scores.BINS
+    bins: dict = {}
+    for raw, truth in zip(lifted[held] @ weight, y[held]):
+        bins.setdefault(min(scores.BINS - 1, max(0, int((raw - scores.LOW) / step))), []).append(truth)
+    knots = [scores.LOW + (b + 0.5) * step for b in sorted(bins)]
+    told = rates([len(bins[b]) for b in sorted(bins)], [sum(bins[b]) for b in sorted(bins)])
+    got = scores.classify(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = float(scores.lift(scores.statistics(texts[r.doc_id])[None], mean, scale)[0] @ weight)
+        want = (1 - scores.RAW_SHARE) * np.interp(raw, knots, told) + scores.RAW_SHARE * min(1, max(0, (raw - scores.LOW) / (scores.HIGH - scores.LOW)))
+        assert r.score == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_that_are_all_the_same(spark):
+    docs = spark.createDataFrame([(1, words(80, 1))] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3, "doc_id long, quality int")
+    assert len({r.score for r in scores.classify(docs, labels).collect()}) == 1
+    assert len({(r.n_words, r.kept) for r in rules.apply(docs, rules.fit(docs, labels)).collect()}) == 1
