@@ -16,7 +16,10 @@ least hash of their id, and ``WINDOWS_PER_TEXT`` seeded windows of each.
 
 Defined results: null text, empty text and text without a letter are ``und``
 with score 0, as is every text if no labelled row exists; equal texts give
-equal rows; labels other than the text's own language are never read.
+equal rows and repeated rows stay rows; languages that tie go to the first by name; an
+empty table gives an empty result; other columns are ignored by ``identify`` and kept by
+``accept``, which keeps every row where no label exists; labels other than the text's own
+language are never read.
 """
 
 from __future__ import annotations

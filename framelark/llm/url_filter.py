@@ -15,7 +15,9 @@ quantiles and the hashed suffix table reach the driver, where splits are chosen.
 
 Defined results: a null url, or one without "://", has empty host and path and
 is judged by the trees on features of an empty url; without labelled urls the
-trees allow; equal urls get equal verdicts; an empty table gives an empty result.
+trees allow; equal urls get equal verdicts and repeated rows stay
+rows; urls of any length are measured whole; an empty table gives an empty result; other
+columns are ignored, names may clash.
 """
 
 from __future__ import annotations

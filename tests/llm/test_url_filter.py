@@ -49,3 +49,11 @@ def test_no_python_in_the_plan(odd_pages):
     plan = uf.judge(odd_pages)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F is not None
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://www.EXAMPLE.com/en/" + "a/b1" * 30_000 + "?" + "p=1&" * 5_000
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate([long, long, "http://x.net/fr/", "http://net.org/?q"])], "page_id long, url string")
+    got = {r.page_id: r for r in uf.judge(pages).collect()}
+    assert all((got[i].host, got[i].path, got[i].rule) == brute(long) for i in (0, 1)) and got[0].verdict == got[1].verdict == "allow"
+    assert got[2].verdict == "block" and got[3].rule is None
