@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but
 the last return the columns of their input.
+
+Defined results are those of the stages: null and empty texts are rejected by the
+language stage, or, where no document has a label, by the quality rules; rows that repeat
+an id and a text leave near-dedup as one; an empty table gives an empty result; extra
+columns reach the mixing stage's output and end with the encoding.
 """
 
 from __future__ import annotations
