@@ -165,3 +165,23 @@ def test_whole_queries_take_every_window():
         assert "THEN 40000 ELSE 12000 END" in catalog.SQL[name] and "400 ELSE 120 " not in catalog.SQL[name]
     for name in ("leakage_span_disjoint_whole", "scaler_train_whole"):
         assert "windows AS m" in catalog.SQL[name] and "ELSE 120" not in catalog.SQL[name]
+
+
+def test_spans_of_any_starts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), str(s), int(p)) for c, s, p in zip(rng.integers(0, 2, 60), rng.choice(["test", "train", "val"], 60), rng.integers(0, 1500, 60))]
+    for window in (1, 10, 64, 150):
+        held = {s: {(c, p + k) for c, t, p in rows if t == s for k in range(window)} for s in ("test", "train", "val")}
+        want = {(a, b): n for a, b in (("test", "train"), ("test", "val"), ("train", "val")) if (n := len(held[a] & held[b]))}
+        got = quality.span_overlaps(spark.createDataFrame(rows + rows[:5], "capture long, split string, pos long"), window)
+        assert {(r.a, r.b): r.shared for r in got.collect()} == want
+
+
+def test_starts_of_a_block_are_spread(spark):
+    spans = spark.createDataFrame([(0, "train", 0, 200_009)], "capture long, split string, start long, stop long")
+    made = stream.starts(spans)
+    held = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"), F.min("pos").alias("low"), F.max("pos").alias("high"), F.countDistinct("pos").alias("told")).collect()
+    assert len(held) > 1 and sum(r.n for r in held) == sum(r.told for r in held) == 200_000 and (min(r.low for r in held), max(r.high for r in held)) == (0, 199_999)
+    assert "HashAggregate(keys=[capture" not in made._jdf.queryExecution().simpleString().split("Generate explode(sequence(first")[0]  # no task holds all starts
+    wide = spark.createDataFrame([(0, "train", 0), (0, "val", 10**7 - 5)], "capture long, split string, pos long")
+    assert quality.span_overlaps(wide, 10**7).first().shared == 5
