@@ -527,12 +527,12 @@ QUERIES["statistical_tests"] = statistical_tests
 # ------------------------------------------------------------------ streaming and search
 @query(FEATURES_SQL + "SELECT capture, pos, round(window_duration, 6) AS window_duration, round(iat_mean, 6) AS iat_mean, round(iat_min, 6) AS iat_min, round(iat_max, 6) AS iat_max, n_unique_ids, y FROM told")
 def streaming_count_windows(spark, sf_dir):
-    from ..streaming.count_windows import count_windows, drain
+    from ..streaming.count_windows import drain
     from .inputs import message_columns
 
     schema = table(spark, sf_dir, "events").schema
     stream_ = message_columns(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern: a stream reads folders or patterns, not a file
-    return _rounded(drain(count_windows(stream_.select("capture", "t_us", "can_id", "label", "seq"))))
+    return _rounded(drain(stream_.select("capture", "t_us", "can_id", "label", "seq")))
 
 
 def _search_queries() -> None:

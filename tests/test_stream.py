@@ -185,3 +185,40 @@ def test_starts_of_a_block_are_spread(spark):
     assert "HashAggregate(keys=[capture" not in made._jdf.queryExecution().simpleString().split("Generate explode(sequence(first")[0]  # no task holds all starts
     wide = spark.createDataFrame([(0, "train", 0), (0, "val", 10**7 - 5)], "capture long, split string, pos long")
     assert quality.span_overlaps(wide, 10**7).first().shared == 5
+
+
+def test_streamed_windows_over_batches(spark, tmp_path):
+    from framelark.streaming.count_windows import RESULT, drain
+
+    rng = np.random.default_rng(2)
+    n = 300
+    rows = [(int(c), int(t), int(i), int(l), k) for k, (c, t, i, l) in enumerate(zip(rng.integers(0, 2, n), np.sort(rng.integers(0, 10**6, n)) * 100, rng.integers(0, 5, n), rng.random(n) < 0.05))]
+    rows += [(9, 5, 1, 0, n), (9, 6, 2, 0, n + 200)]  # a capture of two messages in batches apart
+    schema = "capture long, t_us long, can_id long, label int, seq long"
+    for k, part in enumerate((rows[:7], rows[7:10], rows[10:150], rows[150:])):  # the first batches hold less than a window
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for window in (1, 4, 10):
+        stream_ = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = drain(stream_, window, 10**6)
+        assert [t for _, t in got.dtypes] == [c.strip().split(" ")[1].replace("long", "bigint") for c in RESULT.split(",")]
+        made = {(r.capture, r.pos): r for r in got.collect()}
+        assert got.count() == len(made)
+        for c in (0, 1, 9):
+            own = [r for r in rows if r[0] == c]
+            assert {p for k, p in made if k == c} == set(range(len(own) - window + 1))
+            for p in range(len(own) - window + 1):
+                part, r = own[p : p + window], made[c, p]
+                gaps = np.diff([m[1] for m in part]) / 1e6
+                assert (r.n_unique_ids, r.y) == (len({m[2] for m in part}), max(m[3] for m in part)) and r.window_duration == pytest.approx((part[-1][1] - part[0][1]) / 1e6)
+                if window > 1:
+                    assert (r.iat_mean, r.iat_min, r.iat_max) == pytest.approx((gaps.mean(), gaps.min(), gaps.max()))
+
+
+def test_streamed_windows_run_no_python(spark):
+    from framelark.streaming.count_windows import STATE, count_windows, last_messages
+
+    batch = spark.createDataFrame([(0, k, k % 3, 0, k) for k in range(30)], "capture long, t_us long, can_id long, label int, seq long")
+    held = spark.createDataFrame([], STATE)
+    for made in (count_windows(batch, held), last_messages(batch, held)):
+        assert "Pandas" not in made._jdf.queryExecution().toString() and "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.pos for r in last_messages(batch, held).collect()) == list(range(21, 30)) and count_windows(batch, held).count() == 21
