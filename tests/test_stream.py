@@ -222,3 +222,17 @@ def test_streamed_windows_run_no_python(spark):
     for made in (count_windows(batch, held), last_messages(batch, held)):
         assert "Pandas" not in made._jdf.queryExecution().toString() and "Python" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.pos for r in last_messages(batch, held).collect()) == list(range(21, 30)) and count_windows(batch, held).count() == 21
+
+
+def test_only_messages_of_chosen_windows_are_framed(spark, monkeypatch):
+    from framelark.operators import windows
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("capture"), (F.col("id") * 1000 + F.col("id") % 7).alias("t_us"), (F.col("id") * 7 % 5).alias("can_id"), (F.col("id") % 9).alias("dlc"), (F.col("id") % 50 == 0).cast("int").alias("label"), F.col("id").alias("seq"))
+    starts = spark.createDataFrame([(c, "x", p) for c in (0, 1) for p in (0, 5, 6, 40, 700, 701, 1490)], "capture long, split string, pos long")
+    framed, real = [], windows.frames
+    monkeypatch.setattr(windows, "frames", lambda placed, *a: framed.append(placed.count()) or real(placed, *a))
+    want = window_features(rows, tuple(GROUPS), slice_us=10**6, starts=starts).orderBy("capture", "pos").collect()
+    for limit in (windows.BROADCAST, 0):
+        monkeypatch.setattr(windows, "BROADCAST", limit)
+        assert window_features(rows, tuple(GROUPS), slice_us=10**6, starts=starts, most=14).orderBy("capture", "pos").collect() == want
+    assert len(want) == 14 and framed == [3000, 2 * (16 + 10 + 11 + 10)] + [2 * (16 + 10 + 11 + 10)]
