@@ -236,3 +236,33 @@ def test_only_messages_of_chosen_windows_are_framed(spark, monkeypatch):
         monkeypatch.setattr(windows, "BROADCAST", limit)
         assert window_features(rows, tuple(GROUPS), slice_us=10**6, starts=starts, most=14).orderBy("capture", "pos").collect() == want
     assert len(want) == 14 and framed == [3000, 2 * (16 + 10 + 11 + 10)] + [2 * (16 + 10 + 11 + 10)]
+
+
+def test_importances_read_the_stream_twice(spark, tmp_path, monkeypatch):
+    from framelark.operators import windows
+    from framelark.plans import search_queries as q
+    from framelark.search import arms
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("capture"), (F.col("id") * 1000).alias("t_us"), (F.col("id") * 7 % 5).alias("can_id"), (F.col("id") % 9).alias("dlc"), (F.col("id") % 50 == 0).cast("int").alias("label"), F.col("id").alias("seq"))
+    odd = spark.createDataFrame([(None, 5, 1, 0, 0, 9001), (0, None, 1, 0, 0, 9002), (1, None, 2, 0, 1, 9003)], "capture long, t_us long, can_id long, dlc long, label int, seq long")  # without a place
+    rows.union(odd).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    read = spark.sparkContext.accumulator(0)
+    settings = q.small()
+    settings.slice_us, settings.budget = 300_000, {"train": 60, "val": 20, "test": 20}
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    seen = stored.mapInPandas(counted, stored.schema)
+    got = arms.prepare(seen, settings)
+    assert 2 * 3003 <= read.value <= 3 * 3003  # slices, messages and the first with a dlc
+    known = stream.slices(stored, settings.slice_us)
+    assert sorted(map(tuple, arms._lengths(known).collect())) == [(0, 1500), (1, 1500)]
+    for counts in (None, known):  # a message without a time moves none
+        assert stream.positions(stored, settings.slice_us, known=counts).agg(F.min("pos"), F.max("pos"), F.count("*")).first() == (0, 1499, 3000)
+    plain = windows.window_features(stored, slice_us=settings.slice_us).orderBy("capture", "pos").collect()
+    assert windows.window_features(stored, slice_us=settings.slice_us, known=known).orderBy("capture", "pos").collect() == plain and len(plain) == 2 * 1491
+    assert {s: len(y) for s, (_, y) in got.parts.items()} == {"train": 60, "val": 20, "test": 20}
